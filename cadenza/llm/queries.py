@@ -5,22 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import ogg, quality, topk, toxicity, urlfilter, warc
-from cadenza.llm.common import table
+import public_tokenizers
+
+from cadenza.llm import bpe, ogg, packing, quality, secrets, topk, toxicity, urlfilter, warc
+from cadenza.llm.common import stored, table
+
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_warc(warc.write_warc(warc.with_roles(table(spark, sf_dir, "pages"))))
+    archives = stored(warc.write_warc(warc.with_roles(table(spark, sf_dir, "pages"))), "warc-archives")
+    return warc.read_warc(archives)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_ogg(ogg.write_ogg(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
@@ -34,7 +52,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors, 10)
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_toxicity, op5_quality, op7_ogg, op9_url_filter, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_toxicity, op4_packing, op5_quality, op6_secrets, op7_ogg, op9_url_filter, op10_top_k)}
 
 ORACLE_SQL = {
     "op2_warc": """

@@ -34,7 +34,7 @@ TRAIN_ROWS = 2000  #: labelled texts of each class that the model is fitted on
 SLOTS = 1 << 15  #: rows of the hashed embedding; row 0 is silence
 WIDTH, FILTERS, SPANS = 12, 6, (1, 2, 3)
 STEM = 4  #: letters of a word's second hash
-EPOCHS, BATCH, RATE, SEED = 4, 32, 0.05, 7
+EPOCHS, STEPS, BATCH, RATE, SEED = 4, 400, 32, 0.1, 7  #: rounds over the sample, or more until so many steps
 THRESHOLD = 0.7
 #: A clean text that is rejected weighs so many times a toxic one that is kept.
 CLEAN_WEIGHT = 3.0
@@ -109,7 +109,7 @@ class Net:
         r = np.random.default_rng(SEED)
         square = [np.full_like(x, 1e-6) for x in (self.rows, *self.filters, self.out)]
         bias2 = 1e-6
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(texts))))):
             order = r.permutation(len(texts))
             for lo in range(0, len(order), BATCH):
                 g_rows: dict[int, np.ndarray] = {}
