@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from cadenza.llm import bpe, ogg, packing, quality, secrets, topk, toxicity, urlfilter, warc
+from cadenza.llm import bpe, ngram_join, ogg, packing, quality, secrets, topk, toxicity, urlfilter, warc
 from cadenza.llm.common import stored, table
 
 
@@ -43,6 +43,10 @@ def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_ogg(ogg.write_ogg(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -52,7 +56,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors, 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_toxicity, op4_packing, op5_quality, op6_secrets, op7_ogg, op9_url_filter, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_warc, op3_toxicity, op4_packing, op5_quality, op6_secrets, op7_ogg, op8_ngram_jaccard, op9_url_filter, op10_top_k)}
 
 ORACLE_SQL = {
     "op2_warc": """
