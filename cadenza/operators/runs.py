@@ -188,7 +188,7 @@ def merge_windows(windows: DataFrame, tolerance: float) -> DataFrame:
 
 def rapid_alternation(segments: DataFrame, span: float = 52.0, rows: int = 6, switches: int = 4) -> DataFrame:
     """Rows from which a span holds enough rows of exactly two speakers that switch often: candidates before skipping ahead."""
-    w = W.partitionBy("rec_id").orderBy(F.col("start") * 1000).rangeBetween(0, int(span * 1000))
+    w = W.partitionBy("rec_id").orderBy(F.round(F.col("start") * 1000).cast("long")).rangeBetween(0, int(span * 1000))
     flip = labelled(segments).withColumn("flip", F.coalesce((F.col("speaker") != F.lag("speaker").over(ORDER)).cast("int"), F.lit(0)))
     seen = flip.select("rec_id", "seg_idx", F.count("*").over(w).alias("rows"), (F.sum("flip").over(w) - F.col("flip")).alias("switches"), F.size(F.collect_set("speaker").over(w)).alias("speakers"))
     return seen.where((F.col("rows") >= rows) & (F.col("speakers") == 2) & (F.col("switches") >= switches))

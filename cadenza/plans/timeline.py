@@ -191,7 +191,7 @@ def win_group_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_LABELLED}, f AS (SELECT *, coalesce(CAST(speaker <> lag(speaker) OVER (PARTITION BY rec_id ORDER BY seg_idx) AS INTEGER), 0) AS flip FROM lab),
     w AS (SELECT a.rec_id, a.seg_idx, count(*) AS rows, sum(b.flip) - max(a.flip) AS switches, count(DISTINCT b.speaker) AS speakers
-          FROM f a JOIN f b ON a.rec_id = b.rec_id AND b.start >= a.start AND b.start <= a.start + 8 GROUP BY 1, 2)
+          FROM f a JOIN f b ON a.rec_id = b.rec_id AND b.start >= a.start AND b.start <= a.start + 8 + 1e-6 GROUP BY 1, 2)
     SELECT rec_id, seg_idx, rows, CAST(switches AS BIGINT) AS switches, CAST(speakers AS INTEGER) AS speakers FROM w WHERE rows >= 4 AND speakers = 2 AND switches >= 2"""
 )
 def win_rapid_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,9 +252,9 @@ def agg_speech_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_islands('ranges', 0, 'm')}, x AS (SELECT s.rec_id, s.seg_idx, s.start, s."end", coalesce(sum(least(s."end", m."end") - greatest(s.start, m.start)), 0) AS x
+    f"""WITH {_islands('ranges', 0, 'm')}, y AS (SELECT s.rec_id, s.seg_idx, s.start, s."end", coalesce(sum(CASE WHEN m.start IS NOT NULL THEN least(s."end", m."end") - greatest(s.start, m.start) END), 0) AS x
       FROM segments s LEFT JOIN m ON s.rec_id = m.rec_id AND m.start < s."end" AND m."end" > s.start GROUP BY ALL)
-    SELECT rec_id, seg_idx, round(least(1, x / ("end" - start)), 9) AS overlap_ratio, x >= 0.12 - 1e-9 AND x / ("end" - start) >= 0.08 AS speaker_overlap_risk FROM x"""
+    SELECT rec_id, seg_idx, round(least(1, x / ("end" - start)), 9) AS overlap_ratio, x >= 0.12 - 1e-9 AND x / ("end" - start) >= 0.08 AS speaker_overlap_risk FROM y"""
 )
 def iv_map_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.overlap_ratio(segments(spark, sf_dir), ranges(spark, sf_dir), digits=9)
