@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.plans import relations, texts, timeline  # noqa: F401
+from cadenza.plans import relations, scores, texts, timeline  # noqa: F401
 from cadenza.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
