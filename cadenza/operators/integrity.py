@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = W.partitionBy("rec_id").orderBy("seg_idx")
+def order() -> WindowSpec:
+    return W.partitionBy("rec_id").orderBy("seg_idx")
 
 
 def violations(segments: DataFrame, overlap: float = 0.05) -> DataFrame:
     """(rec_id, seg_idx, code) of every broken rule."""
-    segments = segments.withColumn("_s", F.lag("start").over(ORDER)).withColumn("_e", F.lag("end").over(ORDER))
+    segments = segments.withColumn("_s", F.lag("start").over(order())).withColumn("_e", F.lag("end").over(order()))
     finite = F.expr("start IS NOT NULL AND end IS NOT NULL AND NOT isnan(start) AND NOT isnan(end)")
     rules = {
         "not_finite": ~finite,

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = W.partitionBy("rec_id").orderBy("seg_idx")
+def order() -> WindowSpec:
+    return W.partitionBy("rec_id").orderBy("seg_idx")
 FILLER = r"^[嗯啊呃哦对是好可以行的了哈\s,，。.!！?？]+$"
 
 
@@ -20,7 +22,7 @@ def labelled(segments: DataFrame) -> DataFrame:
 
 def with_runs(segments: DataFrame, max_gap: float | None) -> DataFrame:
     """Labelled rows with run_idx: a run ends where the speaker changes or the gap is over max_gap."""
-    w = ORDER
+    w = order()
     broken = F.lag("speaker").over(w).isNull() | (F.col("speaker") != F.lag("speaker").over(w))
     if max_gap is not None:
         broken = broken | (F.col("start") - F.lag("end").over(w) > max_gap)
@@ -42,8 +44,8 @@ def runs(segments: DataFrame, max_gap: float | None = 1.5) -> DataFrame:
 
 
 def sandwiched(segments: DataFrame) -> Column:
-    """Neighbours in the list (labelled or not) agree on another speaker. For rows with ORDER's columns."""
-    before, after = F.lag("speaker").over(ORDER), F.lead("speaker").over(ORDER)
+    """Neighbours in the list (labelled or not) agree on another speaker. For rows with order()'s columns."""
+    before, after = F.lag("speaker").over(order()), F.lead("speaker").over(order())
     return F.coalesce((before != "") & (before == after) & (before != F.col("speaker")), F.lit(False))
 
 
@@ -136,14 +138,14 @@ def proxy_metrics(segments: DataFrame, short: float = 1.0, fragment: float = 0.5
 
 def change_points(segments: DataFrame) -> DataFrame:
     """Times at which the speaker differs from the row before."""
-    rows = labelled(segments).withColumn("before", F.lag("speaker").over(ORDER))
+    rows = labelled(segments).withColumn("before", F.lag("speaker").over(order()))
     return rows.where("before <> speaker").select("rec_id", F.col("start").alias("time"), F.col("before").alias("from_speaker"), F.col("speaker").alias("to_speaker"))
 
 
 def run_lengths(segments: DataFrame, max_gap: float = 1.2) -> DataFrame:
     """Rows with the length of the run of like rows around each; unlabelled rows break runs."""
-    broken = F.coalesce((F.col("speaker") != F.lag("speaker").over(ORDER)) | (F.col("start") - F.lag("end").over(ORDER) > max_gap), F.lit(True))
-    rows = segments.withColumn("speaker", F.coalesce("speaker", F.lit(""))).withColumn("b", broken.cast("int")).withColumn("g", F.sum("b").over(ORDER))
+    broken = F.coalesce((F.col("speaker") != F.lag("speaker").over(order())) | (F.col("start") - F.lag("end").over(order()) > max_gap), F.lit(True))
+    rows = segments.withColumn("speaker", F.coalesce("speaker", F.lit(""))).withColumn("b", broken.cast("int")).withColumn("g", F.sum("b").over(order()))
     return labelled(rows).select("rec_id", "seg_idx", "speaker", F.count("*").over(W.partitionBy("rec_id", "g")).alias("run_length"))
 
 
@@ -158,13 +160,13 @@ def nearest_same_gap(segments: DataFrame, window: float = 18.0) -> DataFrame:
 
 def context(rows: DataFrame, k: int, text: str = "text") -> DataFrame:
     """Each row with the texts of up to k rows before and after."""
-    join = lambda a, b: F.array_join(F.collect_list(text).over(ORDER.rowsBetween(a, b)), " / ")
+    join = lambda a, b: F.array_join(F.collect_list(text).over(order().rowsBetween(a, b)), " / ")
     return rows.select("rec_id", "seg_idx", join(-k, -1).alias("before"), join(1, k).alias("after"))
 
 
 def carry_forward(rows: DataFrame, col: str) -> DataFrame:
     """The column with nulls filled by the last value before."""
-    return rows.withColumn(col, F.last(col, ignorenulls=True).over(ORDER.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.withColumn(col, F.last(col, ignorenulls=True).over(order().rowsBetween(W.unboundedPreceding, 0)))
 
 
 def first_appearance(segments: DataFrame) -> DataFrame:
@@ -175,7 +177,7 @@ def first_appearance(segments: DataFrame) -> DataFrame:
 
 def batches(rows: DataFrame, size: int) -> DataFrame:
     """Fixed batches of consecutive rows."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(ORDER) - 1) / size).cast("int"))
+    return rows.withColumn("batch", F.floor((F.row_number().over(order()) - 1) / size).cast("int"))
 
 
 def merge_windows(windows: DataFrame, tolerance: float) -> DataFrame:
@@ -189,7 +191,7 @@ def merge_windows(windows: DataFrame, tolerance: float) -> DataFrame:
 def rapid_alternation(segments: DataFrame, span: float = 52.0, rows: int = 6, switches: int = 4) -> DataFrame:
     """Rows from which a span holds enough rows of exactly two speakers that switch often: candidates before skipping ahead."""
     w = W.partitionBy("rec_id").orderBy(F.round(F.col("start") * 1000).cast("long")).rangeBetween(0, int(span * 1000))
-    flip = labelled(segments).withColumn("flip", F.coalesce((F.col("speaker") != F.lag("speaker").over(ORDER)).cast("int"), F.lit(0)))
+    flip = labelled(segments).withColumn("flip", F.coalesce((F.col("speaker") != F.lag("speaker").over(order())).cast("int"), F.lit(0)))
     seen = flip.select("rec_id", "seg_idx", F.count("*").over(w).alias("rows"), (F.sum("flip").over(w) - F.col("flip")).alias("switches"), F.size(F.collect_set("speaker").over(w)).alias("speakers"))
     return seen.where((F.col("rows") >= rows) & (F.col("speakers") == 2) & (F.col("switches") >= switches))
 

@@ -112,9 +112,9 @@ def join_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT rec_id, seg_idx, pt AS previous_text, text FROM n WHERE start - pe <= 0.8 AND length(text) <= 6"""
 )
 def join_boundary_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cadenza.operators.runs import ORDER
+    from cadenza.operators.runs import order
 
-    rows = segments(spark, sf_dir).withColumn("previous_text", F.lag("text").over(ORDER)).withColumn("gap", F.col("start") - F.lag("end").over(ORDER))
+    rows = segments(spark, sf_dir).withColumn("previous_text", F.lag("text").over(order())).withColumn("gap", F.col("start") - F.lag("end").over(order()))
     return rows.where("gap <= 0.8 AND length(text) <= 6").select("rec_id", "seg_idx", "previous_text", "text")
 
 

@@ -90,7 +90,7 @@ def str_repeated_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT rec_id, seg_idx, coalesce(max(k) FILTER (k <= length(text) AND k <= length(q) AND right(text, k) = left(q, k)), 0) AS overlap FROM k GROUP BY 1, 2"""
 )
 def str_suffix_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = segments(spark, sf_dir).withColumn("q", F.lead("text").over(rn.ORDER)).where("q IS NOT NULL")
+    n = segments(spark, sf_dir).withColumn("q", F.lead("text").over(rn.order())).where("q IS NOT NULL")
     return n.select("rec_id", "seg_idx", tx.suffix_prefix("text", "q", 12).cast("long").alias("overlap"))
 
 

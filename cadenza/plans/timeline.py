@@ -111,7 +111,7 @@ def win_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def win_sandwich(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
-    rows = s.withColumn("hit", rn.sandwiched(s)).withColumn("around", F.lag("speaker").over(rn.ORDER))
+    rows = s.withColumn("hit", rn.sandwiched(s)).withColumn("around", F.lag("speaker").over(rn.order()))
     return rows.where("hit").select("rec_id", "seg_idx", "speaker", "around")
 
 
@@ -170,7 +170,7 @@ def win_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT rec_id, string_agg(speaker, '>' ORDER BY seg_idx) AS sequence FROM n WHERE p IS DISTINCT FROM speaker GROUP BY 1"""
 )
 def win_label_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns(spark, sf_dir).withColumn("p", F.lag("speaker").over(rn.ORDER)).where("NOT (p <=> speaker)")
+    t = turns(spark, sf_dir).withColumn("p", F.lag("speaker").over(rn.order())).where("NOT (p <=> speaker)")
     one = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "speaker"))), lambda x: x["speaker"])
     return t.groupBy("rec_id").agg(F.array_join(one, ">").alias("sequence"))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import clock
 
-ORDER = W.partitionBy("rec_id").orderBy("seg_idx")
+def order() -> WindowSpec:
+    return W.partitionBy("rec_id").orderBy("seg_idx")
 
 
 def joined(rows: DataFrame, line: str | Column, sep: str, name: str = "content") -> DataFrame:
@@ -25,14 +27,14 @@ def txt(segments: DataFrame) -> DataFrame:
 
 def srt(segments: DataFrame) -> DataFrame:
     """Subtitles, numbered after blank ones are gone."""
-    rows = segments.where("trim(text) <> ''").withColumn("k", F.row_number().over(ORDER))
+    rows = segments.where("trim(text) <> ''").withColumn("k", F.row_number().over(order()))
     block = F.concat_ws("\n", "k", F.concat(clock("start", True), F.lit(" --> "), clock("end", True)), F.trim("text"), F.lit(""))
     return joined(rows, block, "\n").drop("rows")
 
 
 def markdown(segments: DataFrame) -> DataFrame:
     """Anchored lines with a heading where the speaker changes."""
-    new = F.row_number().over(ORDER).eqNullSafe(1) | ~F.col("speaker").eqNullSafe(F.lag("speaker").over(ORDER))
+    new = F.row_number().over(order()).eqNullSafe(1) | ~F.col("speaker").eqNullSafe(F.lag("speaker").over(order()))
     head = F.when(new, F.concat(F.lit("## "), F.coalesce("speaker", F.lit("?")), F.lit("\n"))).otherwise("")
     anchor = F.concat(F.lit('<a id="t-'), F.floor(F.col("start") * 1000 + 1e-6).cast("string"), F.lit('"></a>'))
     rows = segments.withColumn("line", F.concat(head, anchor, "text"))
