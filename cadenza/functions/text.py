@@ -93,9 +93,10 @@ def repetitive(text: str | Column) -> Column:
         times = (n - F.length(F.replace(t, seed, F.lit("")))) / k
         return (n >= k * 3) & (F.trim(seed) != "") & (times * k >= n * 0.6) & (times >= 3)
 
-    chars = F.filter(F.split(F.replace(t, F.lit(" "), F.lit("")), ""), lambda c: c != "")
-    most = F.array_max(F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c))))
-    single = (F.size(chars) > 0) & (most / F.size(chars) > 0.6)
+    bare = F.replace(t, F.lit(" "), F.lit(""))
+    chars = F.array_distinct(F.filter(F.split(bare, ""), lambda c: c != ""))
+    most = F.array_max(F.transform(chars, lambda c: F.length(bare) - F.length(F.replace(bare, c, F.lit("")))))
+    single = most / F.nullif(F.length(bare), F.lit(0)) > 0.6
     return (n >= 6) & (few | F.exists(F.sequence(F.lit(1), F.lit(8)), seeded) | F.coalesce(single, F.lit(False)))
 
 
@@ -166,7 +167,7 @@ def measurements(text: str | Column) -> Column:
 
 
 def acronyms(text: str | Column) -> Column:
-    return F.regexp_extract_all(_c(text), F.lit(r"\b[A-Z]{2,6}\b"), F.lit(0))
+    return F.regexp_extract_all(_c(text), F.lit(r"(?<![A-Za-z0-9_])[A-Z]{2,6}(?![A-Za-z0-9_])"), F.lit(0))
 
 
 def safe_name(text: str | Column, most: int = 80) -> Column:

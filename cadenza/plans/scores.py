@@ -175,7 +175,8 @@ def al_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def al_local_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("ref"), F.substring("text", 11, 200).alias("hyp"))
+    t = table(spark, sf_dir, "benchmark")
+    b = t.select("item_id", F.col("text").alias("ref")).join(t.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hyp")), "item_id")
     return b.select("item_id", udfs.best_local_alignment("ref", "hyp").alias("o")).select("item_id", "o.*")
 
 

@@ -70,12 +70,12 @@ def str_word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT item_id, left(text, 60) AS t FROM benchmark), g AS (SELECT item_id, unnest(list_transform(range(1, length(t)), lambda i: t[i:i + 1])) AS g FROM t
+    """WITH t AS (SELECT item_id, text AS t FROM benchmark), g AS (SELECT item_id, unnest(list_transform(range(1, length(t)), lambda i: t[i:i + 1])) AS g FROM t
       UNION ALL SELECT item_id, unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2])) FROM t) SELECT item_id, g AS gram, count(*) AS n FROM g GROUP BY 1, 2""",
     timeline=False,
 )
 def str_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("t"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     return b.select("item_id", F.explode(tx.ngrams("t", (2, 3))).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
 
 
@@ -106,10 +106,9 @@ def str_strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.without_tags("html")).alias("text"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '\\b[A-Z]{2,6}\\b')) AS acronyms, len(regexp_extract_all(text, '\\d+(?:\\.\\d+)?\\s?(?:km|kg|cm|mm|m|g|%|s|h|元|米|公里|小时|分钟)')) AS measures FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')", timeline=False)
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\b[A-Z]{2,6}\\b')) AS acronyms, len(regexp_extract_all(text, '\\d+(?:\\.\\d+)?\\s?(?:km|kg|cm|mm|m|g|%|s|h|元|米|公里|小时|分钟)')) AS measures FROM documents", timeline=False)
 def str_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).where(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
-    return d.select("doc_id", F.size(tx.acronyms("text")).cast("long").alias("acronyms"), F.size(tx.measurements("text")).cast("long").alias("measures"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(tx.acronyms("text")).cast("long").alias("acronyms"), F.size(tx.measurements("text")).cast("long").alias("measures"))
 
 
 @query(
@@ -127,14 +126,14 @@ def flt_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select("rec_id", "seg_idx", tx.dense("text", "start", "end").alias("dense"))
 
 
-_REP = """t AS (SELECT doc_id, trim(text, ' ') AS t FROM documents WHERE length(text) <= 400), w AS (SELECT *, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS w, regexp_split_to_array(replace(t, ' ', ''), '') AS c, length(t) AS n FROM t),
+_REP = """t AS (SELECT doc_id, trim(text, ' ') AS t FROM documents), w AS (SELECT *, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS w, replace(t, ' ', '') AS c, length(t) AS n FROM t),
     r AS (SELECT *, len(w) >= 3 AND len(list_distinct(w)) / len(w) < 0.4 AS few, len(list_filter(range(1, 9), lambda k: n >= k * 3 AND trim(left(t, k)) <> '' AND (n - length(replace(t, left(t, k), ''))) // k * k >= n * 0.6 AND (n - length(replace(t, left(t, k), ''))) // k >= 3)) > 0 AS seeded,
-      list_max(list_transform(list_distinct(c), lambda x: len(list_filter(c, lambda y: y = x)))) / len(c) > 0.6 AS one FROM w)"""
+      coalesce(list_max(list_transform(list_filter(list_distinct(string_split(c, '')), lambda x: x <> ''), lambda x: length(c) - length(replace(c, x, '')))) / nullif(length(c), 0) > 0.6, false) AS one FROM w)"""
 
 
 @query(f"WITH {_REP} SELECT doc_id, n >= 6 AND (few OR seeded OR one) AS repetitive FROM r", timeline=False)
 def flt_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("length(text) <= 400").select("doc_id", tx.repetitive("text").alias("repetitive"))
+    return _docs(spark, sf_dir).select("doc_id", tx.repetitive("text").alias("repetitive"))
 
 
 @query("SELECT rec_id, seg_idx FROM segments WHERE NOT (CASE WHEN value = 0 THEN false ELSE value * -0.1 < -1.0 END)")
@@ -219,12 +218,12 @@ def agg_changed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '\\s+', '', 'g'), '([。！？.!?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents WHERE length(text) < 2000),
+    """WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '\\s+', '', 'g'), '([。！？.!?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents),
     p AS (SELECT doc_id, unnest(range(0, (len(s) - 1) // 4 + 1)) AS k, s FROM s) SELECT doc_id, k AS paragraph, md5(array_to_string(s[k * 4 + 1:k * 4 + 4], '')) AS text FROM p""",
     timeline=False,
 )
 def sink_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).where("length(text) < 2000").select("doc_id", F.posexplode(tx.paragraphs("text")).alias("paragraph", "t"))
+    d = _docs(spark, sf_dir).select("doc_id", F.posexplode(tx.paragraphs("text")).alias("paragraph", "t"))
     return d.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.md5("t").alias("text"))
 
 

@@ -67,7 +67,7 @@ def markdown_table(lines: DataFrame, value: str = "value") -> DataFrame:
     """Cells of table rows, without rulers."""
     t = lines.select(F.trim(value).alias("line")).where(r"line LIKE '|%' AND NOT line RLIKE '^\\|[-: |]+\\|$'")
     inner = F.regexp_replace("line", r"^\||\|$", "")
-    return t.select(F.transform(F.split(inner, r"\|"), F.trim).alias("cells"))
+    return t.select(F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
