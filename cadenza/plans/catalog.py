@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.plans import more, relations, reviews, scores, texts, timeline  # noqa: F401
+from cadenza.plans import more, relations, reviews, scores, texts, timeline, wording  # noqa: F401
 from cadenza.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
