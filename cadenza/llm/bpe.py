@@ -21,6 +21,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from cadenza.llm.common import bounded_batches
 
 BLOCK_BYTES = 12 << 20  #: text of a block, in UTF-8
 BUCKET_BYTES = 24 << 20  #: text that a bucket of words stands for
+ENCODE_WORDS = 4000  #: words that the library encodes at a time
 RUN_WORDS = 200_000  #: words joined to their ids at a time
 
 
@@ -67,9 +69,13 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def encoded(path: str, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many words in a row, and how many each has."""
-    found = [e.ids for e in tokenizer(path).encode_batch(some, add_special_tokens=False)]
-    n = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter((i for x in found for i in x), np.uint32, int(n.sum())), n
+    t, ids, n = tokenizer(path), [], []
+    for at in range(0, len(some), ENCODE_WORDS):
+        found = [e.ids for e in t.encode_batch_fast(some[at : at + ENCODE_WORDS], add_special_tokens=False)]
+        k = np.fromiter(map(len, found), np.int64, len(found))
+        ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(k.sum())))
+        n.append(k)
+    return np.concatenate(ids) if ids else np.empty(0, np.uint32), np.concatenate(n) if n else np.empty(0, np.int64)
 
 
 def gathered(flat: np.ndarray, first: np.ndarray, n: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +125,14 @@ def _dealt(distinct: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return o, np.searchsorted(b[o], np.arange(buckets + 1))
 
 
+def packed(raw: bytes | pa.Buffer) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def unpacked(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def _sum(distinct: pa.Array) -> int:
     return zlib.crc32("\n".join(distinct.to_pylist()).encode())
 
@@ -130,6 +144,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str, text_col: str, each, s
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = d.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
+    kind = "<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in _blocks(batches):
@@ -138,38 +153,40 @@ def encode_texts(docs: DataFrame, path: str, id_col: str, text_col: str, each, s
             given = distinct.take(pa.array(o))
             for k in range(buckets):
                 if first[k] < first[k + 1]:
-                    part = given.slice(first[k], first[k + 1] - first[k]).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int64()), pa.array([part.to_pylist()], pa.list_(pa.string()))], ["bucket", "block", "words"])
+                    part = given.slice(first[k], first[k + 1] - first[k]).to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int64()), pa.array([packed("\n".join(part).encode())], pa.binary())], ["bucket", "block", "words"])
 
     def encode(rows: pa.Table) -> pa.Table:
-        held = [(k, b, w.values) for r in rows.to_batches() for k, b, w in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), r.column(2), strict=True)]
-        every = pa.concat_arrays([w for _, _, w in held]).dictionary_encode()
+        blocks, buckets_ = rows.column(1).to_pylist(), rows.column(0).to_pylist()
+        lists = [pa.array(unpacked(w.as_py()).decode().split("\n"), pa.large_string()) for w in rows.column(2)]
+        held = list(zip(buckets_, blocks, map(len, lists), strict=True))
+        every = pa.concat_arrays(lists).dictionary_encode()
+        del lists
         flat, n = encoded(path, every.dictionary.to_pylist())  # each distinct word once
         first = np.concatenate(([0], np.cumsum(n)))
         code, at, out = every.indices.to_numpy(zero_copy_only=False).astype(np.int64), 0, []
-        for k, b, w in held:
-            c = code[at : at + len(w)]
-            at += len(w)
+        for k, b, m in held:
+            c = code[at : at + m]
+            at += m
             ids, _ = gathered(flat, first, n, c)
-            out.append((b, k, ids.astype("<u4").tobytes(), n[c].astype("<u4").tobytes()))
+            out.append((b, k, packed(ids.astype(kind).tobytes()), packed(n[c].astype("<u4").tobytes())))
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "bucket", "ids", "n"])
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
         for block, ids, texts in _blocks(batches):
             distinct, _, _ = words(texts)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", ids.type), ("text", texts.type)])) as out:
                 out.write_batch(pa.RecordBatch.from_arrays([ids, texts], ["id", "text"]))
-            cols = [pa.array([block], pa.int64()), pa.array([_sum(distinct)], pa.int64()), pa.array([z.compress(sink.getvalue())], pa.binary())]
+            cols = [pa.array([block], pa.int64()), pa.array([_sum(distinct)], pa.int64()), pa.array([packed(sink.getvalue())], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["block2", "crc", "rows"])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         sent, out = {k: (i, c) for k, i, c in zip(*(right.column(j).to_pylist() for j in (1, 2, 3)), strict=True)}, []
         for r in left.to_batches():
             for crc, rows in zip(r.column(1).to_pylist(), r.column(2).to_pylist(), strict=True):
-                batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows)).read_all().combine_chunks()
+                batch = pa.ipc.open_stream(unpacked(rows)).read_all().combine_chunks()
                 ids = batch.column(0).combine_chunks() if batch.column(0).num_chunks != 1 else batch.column(0).chunk(0)
                 texts = batch.column(1).chunk(0) if batch.column(1).num_chunks == 1 else batch.column(1).combine_chunks()
 
@@ -180,11 +197,11 @@ def encode_texts(docs: DataFrame, path: str, id_col: str, text_col: str, each, s
                     n, flat = np.zeros(len(distinct), np.int64), []
                     for k in range(buckets):
                         if first[k] < first[k + 1]:
-                            got = np.frombuffer(sent[k][1], "<u4")
+                            got = np.frombuffer(unpacked(sent[k][1]), "<u4")
                             if len(got) != first[k + 1] - first[k]:
                                 raise RuntimeError("the table changed between two passes")
                             n[o[first[k] : first[k + 1]]] = got
-                            flat.append(np.frombuffer(sent[k][0], "<u4"))
+                            flat.append(np.frombuffer(unpacked(sent[k][0]), kind).astype(np.uint32))
                     order = np.concatenate(([0], np.cumsum(n[o])))[:-1]
                     at = np.empty(len(o), np.int64)
                     at[o] = order
@@ -193,7 +210,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str, text_col: str, each, s
                 out += each(ids, joined(texts, look), pieces(path))
         return pa.Table.from_batches(out)
 
-    parts = d.mapInArrow(split, "bucket int, block long, words array<string>").groupBy("bucket").applyInArrow(encode, "block long, bucket int, ids binary, n binary")
+    parts = d.mapInArrow(split, "bucket int, block long, words binary").groupBy("bucket").applyInArrow(encode, "block long, bucket int, ids binary, n binary")
     texts = d.mapInArrow(texts_of, "block2 long, crc long, rows binary")
     return texts.groupBy("block2").cogroup(parts.groupBy("block")).applyInArrow(join, schema)
 
