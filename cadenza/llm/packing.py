@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,31 +32,48 @@ UNIT_PIECES = 100_000  #: pieces packed at once
 FAN_IN = 8  #: units that meet in the next round
 NEARLY_FULL = CAPACITY - 8  #: bins of this many tokens are closed at once
 MAX_RESIDUAL = 20_000  #: underfull bins that a unit passes on
-MEMO_WORDS = 200_000  #: words whose ids a task remembers
-SLICE_ROWS = 200  #: texts tokenised at a time
+MEMO_WORDS = 1_000_000  #: words whose ids a worker remembers
+SLICE_ROWS = 1000  #: texts tokenised at a time
 
 MEMBERS = "array<struct<doc_id:{id},piece:int,start:long,length:int,ids_crc32:long>>"
 _MEMBER = ("doc_id", "piece", "start", "length", "ids_crc32")
 
 
 class Memo:
-    """Ids of words as the tokenizer gives them; forgets all when it is full."""
+    """Ids of words as the tokenizer gives them, kept for the worker's later tasks; forgets all when it is full."""
 
     def __init__(self, path: str):
-        self.path, self.seen = path, {}
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.first = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def __call__(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, the first id of each word, and how many it has."""
         some = distinct.to_pylist()
-        if len(self.seen) + len(some) > MEMO_WORDS:
-            self.seen.clear()
-        if new := [w for w in some if w not in self.seen]:
-            flat, n = encoded(self.path, new)
-            raw, at = flat.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(n))) * 4
-            self.seen.update((w, raw[a:b]) for w, a, b in zip(new, at[:-1].tolist(), at[1:].tolist(), strict=True))
-        found = [self.seen[w] for w in some]
-        n = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
-        return np.frombuffer(b"".join(found), "<u4"), np.concatenate(([0], np.cumsum(n)))[:-1], n
+        if len(self.number) + len(some) > MEMO_WORDS:
+            self.clear()
+        number = self.number
+        if new := [w for w in some if w not in number]:
+            ids, n = encoded(self.path, new)
+            known, end = len(number), int(self.first[len(number)])
+            self.flat, self.first = _room(self.flat, end + len(ids)), _room(self.first, known + len(new) + 1)
+            self.flat[end : end + len(ids)] = ids
+            self.first[known + 1 : known + len(new) + 1] = end + np.cumsum(n)
+            number.update(zip(new, range(known, known + len(new)), strict=True))
+        code = np.fromiter(map(number.__getitem__, some), np.int64, len(some))
+        return self.flat, self.first[code], self.first[code + 1] - self.first[code]
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate((a, np.zeros(max(n - len(a), len(a)), a.dtype)))
+
+
+@cache
+def memo_of(path: str) -> Memo:
+    return Memo(path)
 
 
 def tokens(texts: pa.Array, memo: Memo) -> Iterator[np.ndarray]:
@@ -135,7 +153,7 @@ def _local(path: str, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        unit, pieces, memo = TaskContext.get().partitionId() << 10, [], Memo(path)
+        unit, pieces, memo = TaskContext.get().partitionId() << 10, [], memo_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 b = batch.slice(at, SLICE_ROWS)
