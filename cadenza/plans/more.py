@@ -56,7 +56,7 @@ def join_overlap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT rec_id, seg_idx, start - 0.03 AS a, least("end" + 0.18, coalesce(lead(start) OVER (PARTITION BY rec_id ORDER BY seg_idx), "end" + 0.18)) AS b, event_id % 6 <> 0 AS ok FROM segments), q AS (SELECT rec_id, seg_idx * 2.5 + 0.01 AS t FROM segments)
+    """WITH c AS (SELECT rec_id, seg_idx, start - 0.03 AS a, least("end" + 0.18, coalesce(lead(start) OVER (PARTITION BY rec_id ORDER BY seg_idx), "end" + 0.18)) AS b, event_id % 6 <> 0 AS ok FROM segments), q AS (SELECT rec_id, CAST(seg_idx * 2.5 + 0.01 AS DOUBLE) AS t FROM segments)
     SELECT q.rec_id, q.t, min(c.seg_idx) AS cue_idx FROM q LEFT JOIN c ON c.rec_id = q.rec_id AND c.ok AND q.t >= c.a AND q.t <= c.b GROUP BY 1, 2"""
 )
 def join_asof_active_cue(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def flt_vad_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT rec_id, seg_idx * 2.5 + 0.01 AS t FROM segments), c AS (SELECT q.rec_id, q.t, max(s.seg_idx) AS i FROM q JOIN segments s ON s.rec_id = q.rec_id AND s.start - 0.03 <= q.t GROUP BY 1, 2)
+    """WITH q AS (SELECT rec_id, CAST(seg_idx * 2.5 + 0.01 AS DOUBLE) AS t FROM segments), c AS (SELECT q.rec_id, q.t, max(s.seg_idx) AS i FROM q JOIN segments s ON s.rec_id = q.rec_id AND s.start - 0.03 <= q.t GROUP BY 1, 2)
     SELECT q.rec_id, q.t, CASE WHEN q.t <= s."end" + 0.18 THEN s.seg_idx END AS seg_idx FROM q LEFT JOIN c ON q.rec_id = c.rec_id AND q.t = c.t LEFT JOIN segments s ON s.rec_id = c.rec_id AND s.seg_idx = c.i"""
 )
 def join_asof_active_segment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def str_suffix_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT rec_id, seg_idx, round(greatest(1, length(regexp_replace(text, '\\s+', '', 'g'))) + len(regexp_extract_all(text, '[，、,]')) * 1.2 + len(regexp_extract_all(text, '[。！？；：.!?;:]')) * 1.8, 6) AS weight FROM turns"""
+    """SELECT rec_id, seg_idx, round(CAST(1 AS DOUBLE) * greatest(1, length(regexp_replace(text, '\\s+', '', 'g'))) + len(regexp_extract_all(text, '[，、,]')) * 1.2 + len(regexp_extract_all(text, '[。！？；：.!?;:]')) * 1.8, 6) AS weight FROM turns"""
 )
 def mt_cue_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("rec_id", "seg_idx", F.round(tx.cue_weight("text"), 6).alias("weight"))

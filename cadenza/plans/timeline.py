@@ -339,7 +339,7 @@ def iv_multi_active_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT rec_id, min(frame) * 0.1 AS start, (max(frame) + 1) * 0.1 AS "end" FROM g WHERE on_ = 1 GROUP BY rec_id, g HAVING (max(frame) + 1) * 0.1 - min(frame) * 0.1 >= 0.2 - 1e-9),
     """
     + _islands("r", 0.1 + 1e-9, "m")
-    + """ SELECT rec_id, round(start, 6) AS start, round("end", 6) AS "end" FROM m"""
+    + """ SELECT rec_id, round(CAST(start AS DOUBLE), 6) AS start, round(CAST("end" AS DOUBLE), 6) AS "end" FROM m"""
 )
 def win_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = segments(spark, sf_dir).select("rec_id", F.col("seg_idx").alias("frame"), F.expr("(event_id * 37 % 101) / 100").alias("score"))

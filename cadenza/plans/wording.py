@@ -110,7 +110,7 @@ def sort_preflight_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = select.top_per(b, ["audio"], ["risk", "strong", "review", "rtf", "id", "backend", "part"], 1)
     safe = b.where("backend = 1").select(F.col("audio").alias("a")).distinct()
     rows = best.join(safe, F.col("audio") == F.col("a"), "left")
-    return rows.select("audio", F.when((F.col("strong") >= 5) & F.col("a").isNotNull(), 1).otherwise(F.col("backend")).cast("long").alias("backend"))
+    return rows.select("audio", F.when((F.col("strong") >= 5) & F.col("a").isNotNull(), 1).otherwise(F.col("backend")).cast("int").alias("backend"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 1 ELSE 0 END + l_discount * 10 AS penalty FROM lineitem", timeline=False)
