@@ -151,8 +151,8 @@ def signatures(feat: np.ndarray, first: np.ndarray, live: np.ndarray) -> tuple[n
 
 
 def sketch_bits(size: int) -> int:
-    """Bits of a parity sketch; equal throughout three neighbouring octaves' needs by folding."""
-    return 1 << max(6, int(size).bit_length())
+    """Bits of a parity sketch, a power of two that is two to four times the size; longer ones fold onto shorter ones."""
+    return 1 << max(6, int(size).bit_length() + 1)
 
 
 def sketch(feat: np.ndarray) -> bytes:
@@ -329,36 +329,43 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _pairs(rows: pa.Table) -> pa.Table:
+def _pairs(rows: pa.Table, sketches: pa.Table) -> pa.Table:
     """Pairs (a, b) across components that share a signature and may link by their sizes and sketches."""
     col = {c: rows.column(c).to_numpy() for c in ("sig", "lo", "hi", "chunk", "node", "comp", "n")}
-    bits = rows.column("bits").to_pylist()
-    o = np.lexsort((col["hi"], col["lo"], col["sig"]))
+    known, raw = sketches.column("k").to_numpy(), sketches.column("bits").to_pylist()
+    by_node = np.argsort(known, kind="stable")
+    at = by_node[np.searchsorted(known[by_node], col["node"])] if len(known) else np.empty(0, np.int64)
+    width = np.array([len(x) for x in raw], np.int64)[at]
+    table = {w: (keys := np.flatnonzero([len(x) == w for x in raw]), np.frombuffer(b"".join(raw[k] for k in keys), np.uint8).reshape(-1, w)) for w in np.unique(width).tolist()}
+    o = np.lexsort((col["node"], col["hi"], col["lo"], col["sig"]))
     key = np.stack([col["sig"][o], col["lo"][o], col["hi"][o]], 1)
     first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))) if len(o) else np.empty(0, int)
-    found = []
+    found, seen = [], set()
     for s, t in zip(first.tolist(), [*first[1:].tolist(), len(o)], strict=True):
         i = o[s:t]
         lo, hi = col["lo"][i[0]], col["hi"][i[0]]
+        same = (lo, hi, col["node"][i].tobytes())
+        if same in seen:  # signatures of one family tend to have the same members
+            continue
+        seen.add(same)
         left, right = i[col["chunk"][i] == lo], i[col["chunk"][i] == hi]
-        width = np.array([len(bits[k]) for k in i])
-        for wl in np.unique(width):  # sketches of one length at a time
-            for wr in np.unique(width):
-                a = np.array([k for k in left if len(bits[k]) == wl], np.int64)
-                b = np.array([k for k in right if len(bits[k]) == wr], np.int64)
-                for part in range(0, len(a), 256):
-                    p = a[part : part + 256]
-                    if not len(b):
-                        continue
-                    pair = (col["comp"][p][:, None] != col["comp"][b][None, :]) & (col["node"][p][:, None] < col["node"][b][None, :] if lo == hi else True)
+        for wl in np.unique(width[left]).tolist():  # sketches of one length at a time
+            for wr in np.unique(width[right]).tolist():
+                a, b = left[width[left] == wl], right[width[right] == wr]
+                mb = table[wr][1][np.searchsorted(table[wr][0], at[b])]
+                for part in range(0, len(a), 128):
+                    p = a[part : part + 128]
+                    pair = col["comp"][p][:, None] != col["comp"][b][None, :]
+                    if lo == hi:
+                        pair &= col["node"][p][:, None] < col["node"][b][None, :]
                     na, nb = col["n"][p][:, None], col["n"][b][None, :]
                     pair &= DENOMINATOR * np.minimum(na, nb) >= NUMERATOR * np.maximum(na, nb)
                     if pair.any():
-                        ma = np.frombuffer(b"".join(bits[k] for k in p), np.uint8).reshape(len(p), wl)
-                        mb = np.frombuffer(b"".join(bits[k] for k in b), np.uint8).reshape(len(b), wr)
-                        pair &= sketch_gap(ma, mb) * 7 <= na + nb
+                        pair &= sketch_gap(table[wl][1][np.searchsorted(table[wl][0], at[p])], mb) * 7 <= na + nb
                         x, y = np.nonzero(pair)
                         found.append(np.stack([col["node"][p[x]], col["node"][b[y]]], 1))
+        if len(found) > 200:
+            found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
     pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -409,13 +416,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             best = tried.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "lead")), False), 1, LEADERS).alias("x"))
             pairs = best.select(F.col("node").alias("a"), F.explode("x").alias("x")).select("a", F.col("x.lead").alias("b"))
         else:
-            chunks = F.ceil(F.col("m") / GROUP).cast("int")
-            rows = open_.join(mixed_.select("sig", "m"), "sig").withColumn("q", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
+            # Signatures with one leader mostly come from one family: they meet in one part, which
+            # tries each pair once. A signature with many sets is dealt out by pairs of chunks.
+            chunks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("m") / GROUP)))).cast("int")
+            rows = open_.join(mixed_, "sig").withColumn("q", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
             rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-            rows = rows.select("sig", "node", "comp", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-            rows = rows.join(who.select("node", "n", "bits"), "node")
-            part = F.pmod(F.xxhash64("sig", "lo", "hi"), F.lit(buckets * 4)).cast("int")
-            pairs = rows.withColumn("part", part).groupBy("part").applyInArrow(_pairs, "a long, b long").distinct()
+            rows = rows.select("sig", "node", "comp", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "lead")
+            part = F.pmod(F.xxhash64("lead", "lo", "hi"), F.lit(buckets * 4)).cast("int")
+            rows = stored(rows.join(who.select("node", "n"), "node").withColumn("part", part).drop("lead"), "jaccard-parts")
+            held = rows.select(F.col("part").alias("home"), F.col("node").alias("k")).distinct()
+            held = held.join(who.select(F.col("node").alias("k"), "bits"), "k")
+            pairs = rows.groupBy("part").cogroup(held.groupBy("home")).applyInArrow(_pairs, "a long, b long").distinct()
         links.append(stored(verified(pairs), "jaccard-links"))
         every = links[0]
         for x in links[1:]:
