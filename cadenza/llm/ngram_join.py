@@ -18,6 +18,11 @@ leaders of its signatures; then all pairs across different components that share
 signature and pass an exact bound (sizes, parity sketches) are tried. The components of
 the verified links are those of all links.
 
+The links of each row, where asked for, are counted afterwards: linked sets are in one component,
+so every pair of a component's sets whose sizes allow a link is verified there, once. Large
+components are cut into chunks and each pair of chunks is a task's work; counts of sets, not
+pairs, leave a task.
+
 Edge cases: null and empty texts have an empty set and no link; texts with fewer words than
 a shingle are one shingle; a row with a null id has no link and a null component; rows that
 repeat an id each keep their own text's component; other columns are not read.
@@ -47,6 +52,7 @@ BUCKET_BYTES = 8 << 20  #: text that a bucket of signatures stands for
 LEADERS = 2  #: leaders that a set is tried against in a round
 ROUNDS = 2  #: rounds of leaders
 GROUP = 2000  #: sets of one signature that are paired in one task
+GROUP_BYTES = 32 << 20  #: of a chunk of a component's sets
 
 _U = np.uint64
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -370,8 +376,60 @@ def _pairs(rows: pa.Table, sketches: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_copies) of every row; n_copies counts the rows of equal set."""
+def _degrees(rows: pa.Table) -> pa.Table:
+    """(node, linked): the rows, as copies of linked sets, that each set has among a part's pairs of chunks."""
+    col = {c: rows.column(c).to_numpy() for c in ("comp", "lo", "hi", "chunk", "node", "n", "w")}
+    raw = rows.column("feat").to_pylist()
+    linked = np.zeros(len(raw), np.int64)
+    o = np.lexsort((col["n"], col["chunk"], col["hi"], col["lo"], col["comp"]))  # by size within a chunk
+    key = np.stack([col[c][o] for c in ("comp", "lo", "hi")], 1)
+    start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
+    for s, t in zip(start.tolist(), [*start[1:].tolist(), len(o)], strict=True):
+        i = o[s:t]
+        lo, hi = col["lo"][i[0]], col["hi"][i[0]]
+        size = col["n"][i].astype(np.int64)
+        first = np.concatenate(([0], np.cumsum(size)))
+        _, code = np.unique(np.frombuffer(b"".join(raw[k] for k in i), np.uint64), return_inverse=True)
+        mark = np.zeros(code.max() + 1, bool)
+        own, other = np.flatnonzero(col["chunk"][i] == lo), np.flatnonzero(col["chunk"][i] == hi)
+        if not len(other):
+            continue
+        sizes = size[other]
+        for a in own.tolist():
+            # The other chunk's sets of a size that may link: they are in a row.
+            x = a + 1 if lo == hi else other[0] + np.searchsorted(DENOMINATOR * sizes, NUMERATOR * size[a])
+            y = other[0] + np.searchsorted(NUMERATOR * sizes, DENOMINATOR * size[a], "right")
+            if x >= y:
+                continue
+            mine = code[first[a] : first[a + 1]]
+            mark[mine] = True
+            common = np.add.reduceat(mark[code[first[x] : first[y]]], first[x:y] - first[x], dtype=np.int64)
+            mark[mine] = False
+            b = i[x:y][DENOMINATOR * common >= NUMERATOR * (size[a] + size[x:y] - common)]
+            linked[i[a]] += col["w"][b].sum()
+            linked[b] += col["w"][i[a]]
+    return pa.table({"node": pa.array(col["node"], pa.int64()), "linked": pa.array(linked, pa.int64())})
+
+
+def degrees(label: DataFrame, feats: DataFrame, weight: DataFrame, parts: int) -> DataFrame:
+    """(node, linked): of each set (node, comp) with features, the rows whose different set links to it; weight is (node, n, w)."""
+    rows = label.join(weight, "node")
+    size = rows.groupBy("comp").agg(F.count("*").alias("m"), (F.sum("n") * 8).alias("bytes")).where("m > 1")
+    chunks = F.greatest(F.lit(1.0), F.col("m") / GROUP, F.col("bytes") / GROUP_BYTES)
+    size = size.select("comp", F.pow(F.lit(2), F.ceil(F.log2(chunks))).cast("int").alias("q"))
+    rows = rows.join(size, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    rows = rows.select("node", "comp", "n", "w", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("comp", "lo", "hi"), F.lit(parts)).cast("int")).join(feats, "node")
+    found = rows.groupBy("part").applyInArrow(_degrees, "node long, linked long")
+    return found.groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_copies) of every row; n_copies counts the rows of equal set.
+
+    With ``with_links`` also n_links, the other rows that link to it, copies among them.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -437,8 +495,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = label.join(equal.select(F.col("rep").alias("node"), "first_id"), "node")
     least = stored(comp.groupBy("comp").agg(F.min("first_id").alias("component")), "jaccard-components")
     named = stored(label.join(least, "comp").select(F.col("node").alias("rep"), "component"), "jaccard-named")
-    sets = stored(equal.join(named, "rep", "left").select("set", F.coalesce("component", "first_id").alias("component"), "n_copies"), "jaccard-final")
+    sets = equal.join(named, "rep", "left")
+    more = []
+    if with_links:
+        weight = who.select("node", "n").join(equal.select(F.col("rep").alias("node"), F.col("n_copies").alias("w")), "node")
+        linked = stored(degrees(label, feats, weight, buckets * 4), "jaccard-degrees")
+        sets = sets.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("n_links", F.col("n_copies") - 1 + F.coalesce("linked", F.lit(0)))
+        more = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    sets = stored(sets.select("set", F.coalesce("component", "first_id").alias("component"), "n_copies", *["n_links"] * with_links), "jaccard-final")
     # Empty sets and null ids have no partner: their key is their own.
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set")).otherwise(F.concat(F.lit("-").cast("binary"), F.col("node").cast("string").cast("binary")))
     rows = fact.select("doc_id", "n", own.alias("set")).join(sets, "set", "left")
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), *more)

@@ -44,7 +44,7 @@ def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), with_links=True)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,6 +200,31 @@ def test_jaccard_components_are_all(spark, none, seed):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("group", [3, 2000])
+def test_jaccard_links_are_counted(spark, monkeypatch, group):
+    """Links of each row, inside components too: families that all link, chains, copies, lone texts."""
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    rows: list = ["", None, "one two"]
+    for size in (5, 30, 80, 200):
+        base = [word() for _ in range(size)]
+        for k in range(14):
+            rows += [" ".join(base)] * (1 + k % 3)
+            base[r.randrange(size)] = word()
+    rows += [" ".join(word() for _ in range(40)) for _ in range(10)]
+    r.shuffle(rows)
+    sets = []
+    for t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    want = {i: sum(i != j and 4 * len(x & y) >= 3 * len(x | y) for j, y in enumerate(sets) if x and y) for i, x in enumerate(sets)}
+    data = [*enumerate(rows), (None, rows[0])]
+    found = ngram_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string").repartition(3), with_links=True).collect()
+    assert max(want.values()) > 6
+    assert {x.doc_id: x.n_links for x in found} == {**want, None: 0}
+
+
 def test_every_linked_pair_shares_a_signature():
     r = random.Random(4)
     import pyarrow as pa
