@@ -338,6 +338,20 @@ def test_url_rules_and_model(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_models_count_every_decided_url(spark):
+    """Models and threshold are those of all distinct URLs with a rule, however many."""
+    good, bad = [f"http://shop{i % 7}.com/item/{i}" for i in range(6000)], [f"http://ads.net/es/{i}?id={i * 7}" for i in range(7000)]
+    other = [f"http://x{i}.org/{w}/{i}" for i in range(40) for w in ("item", "es", "item?id=7")]
+    rows = [*enumerate(good + bad + other), (-1, good[0])]
+    got = {r.page_id: r for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string").repartition(3)).collect()}
+    a, b, cut = urlfilter.fit(good, bad)
+    for i, u in rows[len(good) + len(bad) : -1]:
+        d = a.per_char(u) - b.per_char(u)
+        assert got[i].rule is None and abs(got[i].llr - d) < 1e-9
+        if abs(d - cut) > 1e-3:
+            assert got[i].verdict == ("allow" if d >= cut else "block")
+
+
 def test_top_k_is_exact_and_prunes(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(700, 8))
