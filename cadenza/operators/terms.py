@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,11 +74,28 @@ def voice_blocks(pitch: Column, source: Column, target: Column) -> Column:
     return F.coalesce(nearer & (low < 155) & (high > 185) & (high - low >= 45), F.lit(False))
 
 
-def hotword_candidates(rows: DataFrame, key: str, terms: DataFrame, k: int = 3, ratio: float = 0.62) -> DataFrame:
-    """Of each missing term and row, the k words of like length that are nearest to it."""
-    words = occurrences(rows, key).select(key, F.col("term").alias("word")).distinct().withColumn("len", F.length("word")).withColumn("head", F.left("word", F.lit(1)))
-    wanted = terms.select("term", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.length("term") + d)).alias("len"), F.left("term", F.lit(1)).alias("head"))
-    pairs = words.join(wanted, ["len", "head"]).where("word <> term")
-    scored = pairs.withColumn("score", F.round(similarity("word", "term"), 6)).where(F.col("score") >= ratio)
-    place = F.row_number().over(W.partitionBy(key, "term").orderBy(F.desc("score"), "word"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).select(key, "term", "word", "score", "place")
+def nearest_grams(term: str, text: str, k: int, letter: re.Pattern[str]) -> list[tuple[str, float]]:
+    """The k different n-grams of the text without its blanks that are nearest to the term, but not the term; of equals the shorter, then the earlier."""
+    term, text = term.strip(), re.sub(r"\s+", "", text)
+    least, chars = 0.5 if len(term) <= 2 else 0.62, set(term)
+    found: dict[str, float] = {}
+    for size in range(max(2, len(term) - 1), min(len(term) + 1, max(len(term), 8)) + 1) if len(term) >= 2 else ():
+        for gram in dict.fromkeys(text[i : i + size] for i in range(len(text) - size + 1)):
+            # No more characters can match than the term has at all.
+            if gram != term and letter.search(gram) and 2.0 * sum(c in chars for c in gram) / (len(term) + size) >= least:
+                if (score := SequenceMatcher(None, term, gram).ratio()) >= least:
+                    found[gram] = score
+    return [(x, round(y, 3)) for x, y in sorted(found.items(), key=lambda item: -item[1])[:k]]
+
+
+def hotword_candidates(rows: DataFrame, key: str, terms: DataFrame, k: int = 3, letter: str = "[\u3400-\u4dbf\u4e00-\u9fff]") -> DataFrame:
+    """Of each missing term and row, the k n-grams of like length that are nearest to it; a candidate has a character that fits ``letter``."""
+    fits = re.compile(letter)
+
+    @F.pandas_udf("array<struct<word:string,score:double>>")
+    def nearest(term: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([[{"word": x, "score": y} for x, y in nearest_grams(a or "", b or "", k, fits)] for a, b in zip(term, text, strict=True)], dtype=object)
+
+    pairs = rows.select(key, "text").crossJoin(F.broadcast(terms.select("term")))  # each text is searched for each term
+    found = pairs.select(key, "term", F.posexplode(nearest("term", "text")).alias("at", "x"))
+    return found.select(key, "term", "x.word", "x.score", (F.col("at") + 1).alias("place"))

@@ -168,3 +168,17 @@ def test_streaming_sessions_and_runs(spark, tmp_path):
         q.stop()
     assert sorted(r.n for r in spark.table("sess").collect()) == [2, 3]
     assert [(r.speaker, r.rows) for r in spark.table("runs").collect()] == [("a", 2), ("b", 2)]
+
+
+def test_hotword_candidates_are_ngrams(spark):
+    """Pieces of words and across blanks, another first letter, lengths of one more or less; Chinese ones by default."""
+    from cadenza.operators import terms
+
+    rows = spark.createDataFrame([(1, "the xstat ions"), (2, "我们去华为元开会"), (3, None), (4, "stations")], "id int, text string")
+    wanted = spark.createDataFrame([("stations",), ("华为云",), ("x",)], "term string")
+    got = lambda **how: {(r.id, r.term, r.place): (r.word, r.score) for r in terms.hotword_candidates(rows, "id", wanted, **how).collect()}
+    assert got() == {(2, "华为云", 1): ("华为", 0.8), (2, "华为云", 2): ("去华为", 0.667), (2, "华为云", 3): ("华为元", 0.667)}
+    latin = got(letter="[a-z]")
+    assert [latin[1, "stations", k] for k in (1, 2, 3)] == [("station", 0.933), ("tations", 0.933), ("xstation", 0.875)]
+    assert [latin[4, "stations", k] for k in (1, 2)] == [("station", 0.933), ("tations", 0.933)]
+    assert not any(t == "x" or i == 3 for i, t, _ in latin)
