@@ -84,6 +84,7 @@ def cells(top: np.ndarray) -> np.ndarray:
 
 def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text in rising order, in a row, and each text's first (one more than texts)."""
+    texts = texts.take(pa.array(np.arange(len(texts))))  # a cast slice keeps an offset that ascii_lower doesn't heed
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
     flat, length = pc.list_flatten(parts), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     owner, some = np.repeat(np.arange(len(parts)), length), pc.not_equal(flat, "")
@@ -455,6 +456,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     who = stored(who.join(fact.where("bits is not null").select("node", "doc_id", "set", "n", "bits"), "node"), "jaccard-nodes")
     texts = d.join(who.select(F.col("doc_id").alias("k"), "node", "set"), F.col("doc_id") == F.col("k")).select("node", "set", "text")
     feats = stored(texts.mapInArrow(_features, "node long, feat binary").dropDuplicates(["node"]), "jaccard-features")
+    if feats.count() != who.count():
+        raise RuntimeError("the table changed between two passes")
 
     def verified(pairs: DataFrame) -> DataFrame:
         fa, fb = feats.select(F.col("node").alias("a"), F.col("feat").alias("fa")), feats.select(F.col("node").alias("b"), F.col("feat").alias("fb"))

@@ -225,6 +225,24 @@ def test_jaccard_links_are_counted(spark, monkeypatch, group):
     assert {x.doc_id: x.n_links for x in found} == {**want, None: 0}
 
 
+def test_jaccard_of_a_long_partition(spark):
+    """More rows in one partition than a slice, an Arrow batch or a block's first batch holds, with near copies throughout."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghXY") for _ in range(4))
+    rows, bases = [], [[word() for _ in range(r.randint(40, 90))] for _ in range(120)]
+    for k in range(1300):
+        base = list(bases[k % 120]) if k % 3 else [word() for _ in range(50)]
+        base[r.randrange(len(base))] = word()
+        rows.append(" ".join(base))
+    rows.append(" ".join(word() for _ in range(60_000)))
+    rows.append(rows[-1] + " end")
+    data = list(enumerate(rows))
+    got = ngram_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).collect()
+    want = brute_components(data)
+    assert len({c for _, c in want.values()}) < 700
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+
+
 def test_every_linked_pair_shares_a_signature():
     r = random.Random(4)
     import pyarrow as pa
