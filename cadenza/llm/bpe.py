@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bounded_batches
+from cadenza.llm.common import bounded_batches, lean, lean_group
 
 BLOCK_BYTES = 12 << 20  #: text of a block, in UTF-8
 BUCKET_BYTES = 24 << 20  #: text that a bucket of words stands for
@@ -210,9 +210,9 @@ def encode_texts(docs: DataFrame, path: str, id_col: str, text_col: str, each, s
                 out += each(ids, joined(texts, look), pieces(path))
         return pa.Table.from_batches(out)
 
-    parts = d.mapInArrow(split, "bucket int, block long, words binary").groupBy("bucket").applyInArrow(encode, "block long, bucket int, ids binary, n binary")
-    texts = d.mapInArrow(texts_of, "block2 long, crc long, rows binary")
-    return texts.groupBy("block2").cogroup(parts.groupBy("block")).applyInArrow(join, schema)
+    parts = d.mapInArrow(lean(split), "bucket int, block long, words binary").groupBy("bucket").applyInArrow(lean_group(encode), "block long, bucket int, ids binary, n binary")
+    texts = d.mapInArrow(lean(texts_of), "block2 long, crc long, rows binary")
+    return texts.groupBy("block2").cogroup(parts.groupBy("block")).applyInArrow(lean_group(join), schema)
 
 
 def decoded(ids: np.ndarray, table: np.ndarray) -> str:

@@ -7,8 +7,10 @@ byte of text becomes a calibrated score. Dictionaries and calibration use a boun
 text is scored whole.
 
 Edge cases: null and empty texts have difference 0; null ids count as held out and keep
-their null; rows may repeat; with labels of one class or none, every score is 1 (nothing
-is rejected without evidence).
+their null; rows may repeat and get equal scores; a very long text is as many windows as it
+takes, and long texts are learnt from like others; an empty table gives an empty result; with
+labels of one class or none, every score is 1 (nothing is rejected without evidence). A score
+equal to the threshold is accepted. Other columns are kept by ``score_texts`` as they are.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cadenza.llm.common import bounded_batches, crc_fold, labelled_sample
+from cadenza.llm.common import bounded_batches, crc_fold, labelled_sample, lean
 from cadenza.llm.toxicity import best_cut
 
 TRAIN_ROWS = 2000  #: labelled texts of each class that the classifier is fitted on
 WINDOW = 1024  #: bytes compressed at a time, so that a dictionary matters throughout a text
 DICTIONARY = 1 << 16  #: bytes of a dictionary
-SAMPLES = 20_000  #: windows a dictionary is built from
+SAMPLES = 20_000  #: windows that a dictionary is built from, at most; those of least hash
 LEVEL = 3
 THRESHOLD = 0.5
 
@@ -41,13 +43,13 @@ def windows(text: str | None) -> list[bytes]:
 
 
 def dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary, or the windows themselves where there are too few to train on."""
-    parts = [w for t in texts for w in windows(t)][:SAMPLES]
+    """A dictionary trained on windows of all the texts, or the windows themselves where there are too few to train on."""
+    parts = sorted((w for t in texts for w in windows(t)), key=lambda w: (zlib.crc32(w), w))[:SAMPLES]
     size = min(DICTIONARY, max(256, sum(map(len, parts)) // 8))
     try:
         return zstandard.train_dictionary(size, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(parts)[:DICTIONARY] or b"\0" * 8
+        return b"".join(parts[: DICTIONARY // WINDOW]) or b"\0" * 8
 
 
 class Sizer:
@@ -112,7 +114,7 @@ def score_texts(docs: DataFrame, model: Model | None, text_col: str = "text", sc
             d = np.array([tool.difference(t) for t in batch.column(at).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(d))], names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:

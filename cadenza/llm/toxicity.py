@@ -10,8 +10,10 @@ The model is fitted on a bounded sample (``TRAIN_ROWS`` labelled texts of each c
 hash of the id); all texts are scored whole.
 
 Edge cases: null and empty texts have no word and get the score of an empty text; null ids
-count as held out and keep their null; rows may repeat; with labels of one class or none,
-every score is 0.
+count as held out and keep their null; rows may repeat and get equal scores; a very long text is
+pooled in stretches of ``STRETCH`` words, whole; an empty table gives an empty result; with
+labels of one class or none, every score is 0. A score equal to the threshold is toxic. Other
+columns are kept by ``score_texts`` as they are.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cadenza.llm.common import bounded_batches, crc_fold, labelled_sample
+from cadenza.llm.common import bounded_batches, crc_fold, labelled_sample, lean
 
 TRAIN_ROWS = 2000  #: labelled texts of each class that the model is fitted on
 SLOTS = 1 << 15  #: rows of the hashed embedding; row 0 is silence
 WIDTH, FILTERS, SPANS = 12, 6, (1, 2, 3)
 STEM = 4  #: letters of a word's second hash
 EPOCHS, STEPS, BATCH, RATE, SEED = 4, 400, 32, 0.1, 7  #: rounds over the sample, or more until so many steps
+STRETCH = 40_000  #: words scored at once
 THRESHOLD = 0.7
 #: A clean text that is rejected weighs so many times a toxic one that is kept.
 CLEAN_WEIGHT = 3.0
@@ -151,34 +154,44 @@ class Net:
         parts = [self.rows @ m[j * WIDTH : (j + 1) * WIDTH] for s, m in zip(SPANS, self.filters, strict=True) for j in range(s)]
         return np.hstack(parts).astype(np.float32)
 
+    def best(self, x: np.ndarray, first: np.ndarray, dead: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Greatest response of each filter in each run of places that starts at first, the dead places left out."""
+        pad, h, col = max(SPANS) - 1, [], 0
+        r = table[x[0]] + table[x[1]]
+        for s in SPANS:
+            z = r[: len(r) - pad, col : col + FILTERS].copy()
+            for j in range(1, s):
+                z += r[j : len(r) - pad + j, col + j * FILTERS : col + (j + 1) * FILTERS]
+            col += s * FILTERS
+            z[dead] = -np.inf
+            h.append(np.maximum.reduceat(z, first, axis=0))
+        return np.hstack(h)
+
     def logits(self, a: np.ndarray, b: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
-        """Of each of many texts, from all their words; texts go in turn, in runs of bounded length."""
+        """Of each of many texts, from all their words; texts go in turn, in runs of bounded length, long ones in stretches."""
         table = self.responses() if table is None else table
         out = np.empty(len(starts) - 1)
-        pad, t = max(SPANS) - 1, 0
+        pad, t, none = max(SPANS) - 1, 0, np.empty(0, np.int64)
         while t < len(out):
-            u = max(t + 1, int(np.searchsorted(starts, starts[t] + 40_000, "right")) - 1)
+            u = max(t + 1, int(np.searchsorted(starts, starts[t] + STRETCH, "right")) - 1)
             length = np.diff(starts[t : u + 1])
-            room = np.maximum(length, 1) + pad  # silence follows each text
-            first = np.concatenate(([0], np.cumsum(room)))
-            x = np.zeros((2, first[-1]), np.int64)
-            put = np.repeat(first[:-1] - starts[t:u], length) + np.arange(starts[t], starts[u])
-            x[0, put], x[1, put] = a[starts[t] : starts[u]], b[starts[t] : starts[u]]
-            r = table[x[0]] + table[x[1]]
-            h, col = [], 0
-            for s in SPANS:
-                z = r[: len(r) - pad, col : col + FILTERS].copy()
-                for j in range(1, s):
-                    z += r[j : len(r) - pad + j, col + j * FILTERS : col + (j + 1) * FILTERS]
-                col += s * FILTERS
-                # positions in the silence between texts are not a text's own
-                live = np.ones(len(z), bool)
-                for k in range(pad):
-                    gap = first[1:-1] - 1 - k
-                    live[gap] = False
-                z[~live] = -np.inf
-                h.append(np.maximum.reduceat(z, first[:-1], axis=0))
-            out[t:u] = np.maximum(np.hstack(h), 0) @ self.out + self.bias
+            if length[0] > STRETCH:
+                h, end = np.full((1, len(SPANS) * FILTERS), -np.inf), starts[u]
+                for at in range(starts[t], end, STRETCH):
+                    to = min(at + STRETCH + pad, end)  # the next stretch's first words end this one's last spans
+                    x = np.zeros((2, min(STRETCH, end - at) + pad), np.int64)
+                    x[0, : to - at], x[1, : to - at] = a[at:to], b[at:to]
+                    h = np.maximum(h, self.best(x, np.zeros(1, np.int64), none, table))
+            else:
+                room = np.maximum(length, 1) + pad  # silence follows each text
+                first = np.concatenate(([0], np.cumsum(room)))
+                x = np.zeros((2, first[-1]), np.int64)
+                put = np.repeat(first[:-1] - starts[t:u], length) + np.arange(starts[t], starts[u])
+                x[0, put], x[1, put] = a[starts[t] : starts[u]], b[starts[t] : starts[u]]
+                # places in the silence between texts are not a text's own
+                dead = (first[1:-1, None] - 1 - np.arange(pad)).ravel()
+                h = self.best(x, first[:-1], dead, table)
+            out[t:u] = np.maximum(h, 0) @ self.out + self.bias
             t = u
         return out
 
@@ -246,7 +259,7 @@ def score_texts(docs: DataFrame, net: Net | None, text_col: str = "text", score_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names)
 
     schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Net | None:
