@@ -9,7 +9,9 @@ meet queries in groups of blocks and chunks of queries, both of bounded size.
 Edge cases: vectors that are null or hold null or non-finite components, and rows without
 an id, take no part; shorter vectors are filled with zeros; a repeated query id is searched once,
 with its smallest vector, and its rows aren't its own candidates; repeated candidates each count; without queries
-or candidates the result is empty.
+or candidates the result is empty. Finite components of any size count: integers that
+leave 64 bits, components and scores alike, are taken as the nearest that fits, so that
+equal ones tie. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ CHUNK_QUERIES = 4096  #: queries of a chunk
 SCALE = 1024
 #: Sums of products below this are exact in doubles.
 EXACT = float(2**53)
+INT = np.iinfo(np.int64)
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -76,12 +79,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def fitting(a: np.ndarray) -> np.ndarray:
+    """Python integers as 64-bit ones, those beyond as the nearest."""
+    return np.minimum(np.maximum(a, INT.min), INT.max).astype(np.int64)
+
+
+def small(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no sum of products of their rows can leave the integers that doubles hold exactly."""
+    most = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (a, b)]
+    return 2 * most[0] * most[1] * max(1, a.shape[1]) < EXACT
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a times b transposed, exactly: in doubles where no sum can leave their integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < EXACT:
+    if small(a, b):
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    return fitting(a.astype(object) @ b.astype(object).T)
+
+
+def bounds_of(q: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Of each query and block, what no row of the block can exceed."""
+    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+    if small(plus, top) and small(minus, low):
+        return product(plus, top) + product(minus, low)
+    return fitting(plus.astype(object) @ top.astype(object).T + minus.astype(object) @ low.astype(object).T)
 
 
 def widened(m: np.ndarray, width: int) -> np.ndarray:
@@ -93,7 +114,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray, np.n
     width = max([q.shape[1], *(m.shape[1] for _, m in blocks)])
     q, blocks = widened(q, width), [(i, widened(m, width)) for i, m in blocks]
     top, low = np.array([m.max(0) for _, m in blocks]), np.array([m.min(0) for _, m in blocks])
-    bounds = product(np.maximum(q, 0), top) + product(np.minimum(q, 0), low)
+    bounds = bounds_of(q, top, low)
     order = np.argsort(-bounds, axis=1, kind="stable")
     n = len(q_ids)
     kth = np.full(n, np.iinfo(np.int64).min)
