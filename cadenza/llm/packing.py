@@ -1,15 +1,20 @@
 """Best-fit packing of tokenised documents into sequences, by hierarchical residual rounds.
 
 Each task packs the pieces that it reads, best fit by falling length, up to ``UNIT_PIECES`` at a
-time, and closes full and nearly full bins. The rest, its residual, goes up a tree: each
-round gathers the underfull bins of ``FAN_IN`` units as items, packs them again, closes
-nearly full bins, and passes on the rest, until one unit is left, which closes all. A unit
-passes on at most ``MAX_RESIDUAL`` bins, the emptiest, and closes the others, so that no task
-gathers more than a bounded number; nothing is dropped.
+time, and emits full and nearly full bins. The rest goes up a tree: each round takes the
+underfull bins of ``FAN_IN`` units as items, packs them again best fit, emits nearly full ones,
+and passes on the rest, until one unit is left. Only bins and their fills travel; members are
+joined to their sequences at the end.
+
+How many bins a unit passes on is bounded without loss. Of best-fit bins at most one is half
+full or less (two such would share a bin), and only such a bin can join another. So a unit's
+bins meet at most ``FAN_IN - 1`` of them in each round, and the ``FAN_IN * rounds`` emptiest
+bins of a unit are all that can ever receive one: where a fuller one has room, an
+emptier one that is still free has it too. Bins beyond these are emitted as they are.
 
 Edge cases: a null or empty text is the end mark alone; null ids are kept; repeated rows are
 documents of their own; a document longer than a sequence is cut into full pieces and a
-rest; an empty table gives no row. Other columns are not read.
+rest; ties go by order of reading; an empty table gives no row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,19 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe import encoded, gathered, words
-from cadenza.llm.common import bounded_batches, stored
+from cadenza.llm.common import Scratch, bounded_batches, lean
 
 CAPACITY = 4096  #: tokens of a sequence
 END_ID = 1  #: closes every document
 UNIT_PIECES = 100_000  #: pieces packed at once
-FAN_IN = 8  #: units that meet in the next round
-NEARLY_FULL = CAPACITY - 8  #: bins of this many tokens are closed at once
-MAX_RESIDUAL = 20_000  #: underfull bins that a unit passes on
-MEMO_WORDS = 1_000_000  #: words whose ids a worker remembers
+FAN_BITS = 3
+FAN_IN = 1 << FAN_BITS  #: units that meet in the next round
+NEARLY_FULL = CAPACITY - 8  #: bins of this many tokens are emitted at once
+MEMO_WORDS = 250_000  #: words whose ids a worker remembers
 SLICE_ROWS = 1000  #: texts tokenised at a time
 
-MEMBERS = "array<struct<doc_id:{id},piece:int,start:long,length:int,ids_crc32:long>>"
-_MEMBER = ("doc_id", "piece", "start", "length", "ids_crc32")
+#: Bins of a unit's pieces; rank counts its underfull bins from the emptiest, null for the others.
+BINS = "bin long, part long, seq long, fill int, rank int, members array<struct<doc_id:{id},piece:int,start:long,length:int,ids_crc32:long,offset:int>>"
+#: Which bin an item went into and where; rank as above, on one item of each bin.
+MOVES = "node long, item long, bin long, offset int, fill int, rank int"
 
 
 class Memo:
@@ -109,16 +116,13 @@ def best_fit(lengths: Iterable[int], capacity: int = CAPACITY) -> list[list[int]
     return bins
 
 
-def _packed(unit: int, round_no: int, items: list[list[tuple]], fills: np.ndarray, last: bool) -> Iterator[tuple[int, int, bool, list[tuple]]]:
-    """(bin, fill, closed, members) of the items, which are lists of members with their fills."""
-    bins = best_fit(fills)
-    total = np.array([int(fills[b].sum()) for b in bins], np.int64)
-    closed = np.full(len(bins), True) if last else total >= NEARLY_FULL
-    underfull = np.flatnonzero(~closed)
-    if len(underfull) > MAX_RESIDUAL:
-        closed[underfull[np.argsort(total[underfull], kind="stable")[MAX_RESIDUAL:]]] = True
-    for j, (b, n, c) in enumerate(zip(bins, total.tolist(), closed.tolist(), strict=True)):
-        yield (round_no << 56) + (unit << 24) + j, n, c, [m for i in b for m in items[i]]
+def ranks(fills: np.ndarray) -> list[int | None]:
+    """Place of each underfull bin among them, the emptiest first, from 0; none for nearly full ones."""
+    out: list[int | None] = [None] * len(fills)
+    under = np.flatnonzero(fills < NEARLY_FULL)
+    for place, j in enumerate(under[np.argsort(fills[under], kind="stable")].tolist()):
+        out[j] = place
+    return out
 
 
 def _cut(doc_id, ids: np.ndarray) -> Iterator[tuple]:
@@ -127,45 +131,58 @@ def _cut(doc_id, ids: np.ndarray) -> Iterator[tuple]:
         yield doc_id, piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())
 
 
-def _rows(unit: int, found: list[tuple[int, int, bool, list[tuple]]], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    members = pa.list_(pa.struct([("doc_id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())]))
-    for at in range(0, len(found), 2000):
-        bins, fills, closed, held = zip(*found[at : at + 2000], strict=True)
-        cols = [pa.array(bins, pa.int64()), pa.array([unit] * len(bins), pa.int64()), pa.array(fills, pa.int32()), pa.array(closed, pa.bool_())]
-        cols.append(pa.array([[dict(zip(_MEMBER, m, strict=True)) for m in x] for x in held], members))
-        yield pa.RecordBatch.from_arrays(cols, ["bin", "unit", "fill", "closed", "members"])
-
-
-def _merge(round_no: int, last: bool, id_type: pa.DataType):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        unit = key[0].as_py()
-        items = [[tuple(m[k] for k in _MEMBER) for m in x] for x in rows.column("members").to_pylist()]
-        found = list(_packed(unit, round_no, items, rows.column("fill").to_numpy(), last))
-        return pa.Table.from_batches(_rows(unit, found, id_type))
-
-    return run
+def _unit(part: int, seq: int, pieces: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The bins of a unit's pieces."""
+    lengths = np.array([p[3] for p in pieces], np.int64)
+    bins = best_fit(lengths)
+    fills = np.array([int(lengths[b].sum()) for b in bins], np.int64)
+    names = ("doc_id", "piece", "start", "length", "ids_crc32", "offset")
+    members = pa.list_(pa.struct([("doc_id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("offset", pa.int32())]))
+    rank = ranks(fills)
+    for at in range(0, len(bins), 2000):
+        some, held = range(at, min(at + 2000, len(bins))), []
+        for j in some:
+            ends = np.cumsum(lengths[bins[j]]).tolist()
+            held.append([dict(zip(names, (*pieces[i], e - pieces[i][3]), strict=True)) for i, e in zip(bins[j], ends, strict=True)])
+        cols = [pa.array([(part << 34) + (seq << 17) + j for j in some], pa.int64()), pa.array([part] * len(some), pa.int64()), pa.array([seq] * len(some), pa.int64())]
+        cols += [pa.array(fills[at : at + 2000], pa.int32()), pa.array(rank[at : at + 2000], pa.int32()), pa.array(held, members)]
+        yield pa.RecordBatch.from_arrays(cols, ["bin", "part", "seq", "fill", "rank", "members"])
+
+
+def _merge(key: tuple, rows: pa.Table) -> pa.Table:
+    """Best fit of a node's underfull bins; a bin keeps the name of its first item."""
+    rows = rows.sort_by([("fill", "descending"), ("bin", "ascending")])
+    item, fills = rows.column("bin").to_numpy(), rows.column("fill").to_numpy().astype(np.int64)
+    bins = best_fit(fills)
+    total = np.array([int(fills[b].sum()) for b in bins], np.int64)
+    out = []
+    for b, n, r in zip(bins, total.tolist(), ranks(total), strict=True):
+        at = 0
+        for i in b:
+            out.append((key[0].as_py(), int(item[i]), int(item[b[0]]), at, n, None if at else r))
+            at += int(fills[i])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["node", "item", "bin", "offset", "fill", "rank"])
 
 
 def _local(path: str, id_type: pa.DataType):
-    def out(unit: int, pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(unit, list(_packed(unit, 0, [[p] for p in pieces], np.array([p[3] for p in pieces], np.int64), False)), id_type)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        unit, pieces, memo = TaskContext.get().partitionId() << 10, [], memo_of(path)
+        part, seq, pieces, memo = TaskContext.get().partitionId(), 0, [], memo_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 b = batch.slice(at, SLICE_ROWS)
                 for doc_id, ids in zip(b.column(0).to_pylist(), tokens(b.column(1), memo), strict=True):
-                    pieces += _cut(doc_id, ids)
-                if len(pieces) >= UNIT_PIECES:
-                    yield from out(unit, pieces)
-                    unit, pieces = unit + 1, []
+                    for piece in _cut(doc_id, ids):
+                        pieces.append(piece)
+                        if len(pieces) == UNIT_PIECES:
+                            yield from _unit(part, seq, pieces, id_type)
+                            seq, pieces = seq + 1, []
         if pieces:
-            yield from out(unit, pieces)
+            yield from _unit(part, seq, pieces, id_type)
 
-    return run
+    return lean(run)
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,29 +191,28 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(spark)
     from pyspark.sql.pandas.types import to_arrow_type
 
+    scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType
-    schema = f"bin long, unit long, fill int, closed boolean, members {MEMBERS.format(id=kind.simpleString())}"
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    level = stored(d.mapInArrow(_local(path, to_arrow_type(kind)), schema), "packed")
-    levels, round_no = [level], 0
-    # The tree is over the units that there are, numbered in order: a few thousand at 100 TB.
-    units = sorted(r.unit for r in level.where("not closed").select("unit").distinct().collect())
-    number = {u: i for i, u in enumerate(units)}
-    groups = -(-len(units) // FAN_IN)
-    while units:
-        round_no += 1
-        last = groups <= 1
-        named = spark.createDataFrame([(u, i // FAN_IN) for u, i in number.items()], "u long, node long")
-        rest = level.where("not closed").join(F.broadcast(named), F.col("unit") == F.col("u")).select("node", "fill", "members")
-        level = stored(rest.groupBy("node").applyInArrow(_merge(round_no, last, to_arrow_type(kind)), schema), "packed")
-        levels.append(level)
-        if last:
-            break
-        number = {u: u for u in range(groups)}
-        groups = -(-groups // FAN_IN)
-    bins = levels[0].where("closed")
-    for x in levels[1:]:
-        bins = bins.unionByName(x.where("closed"))
-    before = F.transform("members", lambda m, i: F.struct(m.alias("m"), F.aggregate(F.slice("members", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x["length"]).alias("offset")))
-    rows = bins.select(F.col("bin").alias("sequence_id"), F.explode(before).alias("p"))
-    return rows.select("p.m.doc_id", "p.m.piece", "p.m.start", F.col("p.m.length").cast("long").alias("length"), "p.m.ids_crc32", "sequence_id", "p.offset")
+    bins = scratch.stored(d.mapInArrow(_local(path, to_arrow_type(kind)), BINS.format(id=kind.simpleString())), "packed")
+    most = bins.agg(F.max("part").alias("part"), F.max("seq").alias("seq")).first()
+    bits = (most.part or 0).bit_length(), (most.seq or 0).bit_length()  # units are numbered by part, then seq
+    rounds = max(1, -(-sum(bits) // FAN_BITS))
+    passed = F.coalesce(F.col("rank") < FAN_IN * rounds, F.lit(False))
+    level, moves = bins.where(passed).select((F.col("part") * (1 << bits[1]) + F.col("seq")).alias("node"), "bin", "fill"), []
+    for _ in range(rounds):
+        up = level.select(F.shiftright("node", FAN_BITS).alias("node"), "bin", "fill")
+        moves.append(scratch.stored(up.groupBy("node").applyInArrow(_merge, MOVES), "packed-moves"))
+        level = moves[-1].where(passed).select("node", "bin", "fill")
+    # Where each passed bin ends up: its moves, one round after the other.
+    at = moves[0].select(F.col("item").alias("home"), F.col("bin").alias("sequence_id"), F.col("offset").cast("long").alias("base"))
+    for m in moves[1:]:
+        m = m.select("item", F.col("bin").alias("next"), F.col("offset").alias("more"))
+        at = at.join(m, F.col("sequence_id") == F.col("item"), "left")
+        at = at.select("home", F.coalesce("next", "sequence_id").alias("sequence_id"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"))
+    at = scratch.stored(at, "packed-places")
+    scratch.drop_but(bins, at)
+    stay = bins.where(~passed).select(F.col("bin").alias("sequence_id"), F.lit(0).cast("long").alias("base"), "members")
+    moved = bins.where(passed).join(at, F.col("bin") == F.col("home")).select("sequence_id", "base", "members")
+    rows = stay.unionByName(moved).select("sequence_id", "base", F.explode("members").alias("m"))
+    return rows.select("m.doc_id", "m.piece", "m.start", F.col("m.length").cast("long").alias("length"), "m.ids_crc32", "sequence_id", (F.col("base") + F.col("m.offset")).alias("offset"))
