@@ -14,9 +14,11 @@ to many documents are kept only by sets that have hardly anything else.
 
 Candidates are verified on whole sets. Equal sets count as one from the start. To connect
 large groups without pairing all their members, every member is first tried against the
-leaders of its signatures; then all pairs across different components that share a
-signature and pass an exact bound (sizes, parity sketches) are tried. The components of
-the verified links are those of all links.
+leaders of its signatures. Then the signatures of one leader, a family, meet in tasks, large
+families as pairs of chunks; a task verifies all pairs across different components that share a
+signature and pass an exact bound (sizes, parity sketches), but for those that its earlier links
+have joined already, and hands on the links that join. The components of the verified links are
+those of all links.
 
 The links of each row, where asked for, are counted afterwards: linked sets are in one component,
 so every pair of a component's sets whose sizes allow a link is verified there, once. Large
@@ -24,8 +26,9 @@ components are cut into chunks and each pair of chunks is a task's work; counts
 pairs, leave a task.
 
 Edge cases: null and empty texts have an empty set and no link; texts with fewer words than
-a shingle are one shingle; a row with a null id has no link and a null component; rows that
-repeat an id each keep their own text's component; other columns are not read.
+a shingle are one shingle; a very long text is a set like others; a row with a null id has no
+link and a null component; rows that repeat an id each keep their own text's component; an empty
+table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bounded_batches, drop_stored, stored
+from cadenza.llm.common import Scratch, bounded_batches, lean, lean_group
 
 WORDS = 5  #: words of a shingle
 #: Links: 100 * intersection >= 75 * union. Bands, bounds and cells below are for this.
@@ -51,8 +54,8 @@ BLOCK_ROWS = 60_000
 BUCKET_BYTES = 8 << 20  #: text that a bucket of signatures stands for
 LEADERS = 2  #: leaders that a set is tried against in a round
 ROUNDS = 2  #: rounds of leaders
-GROUP = 2000  #: sets of one signature that are paired in one task
-GROUP_BYTES = 32 << 20  #: of a chunk of a component's sets
+GROUP = 500  #: sets of a chunk of a family or a component; two chunks meet in a task
+GROUP_BYTES = 16 << 20  #: of a chunk's sets
 
 _U = np.uint64
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -179,8 +182,8 @@ def sketch_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(2, dtype=np.int32)
 
 
-FACT = "struct<local:int,doc_id:long,n:int,own:int,above:int,set:binary,bits:binary>"
-_FACT = pa.list_(pa.struct([("local", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("above", pa.int32()), ("set", pa.binary()), ("bits", pa.binary())]))
+FACT = "struct<local:int,doc_id:long,n:int,own:int,above:int,set:binary,signs:boolean,tag:long>"
+_FACT = pa.list_(pa.struct([("local", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("above", pa.int32()), ("set", pa.binary()), ("signs", pa.bool_()), ("tag", pa.int64())]))
 SIGNED = f"bucket int, block long, data binary, facts array<{FACT}>"
 _SIGNED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("facts", _FACT)])
 
@@ -204,8 +207,8 @@ def _signed(batch_rows: list[pa.RecordBatch], block: int, buckets: int) -> pa.Re
     cut = np.searchsorted(bucket[o], np.arange(buckets + 1))
     some = np.flatnonzero(np.diff(cut))
     facts = [
-        {"local": i, "doc_id": d, "n": int(size[i]), "own": int(occupied[i, 0]), "above": int(occupied[i, 1]), "set": keys[i], "bits": sketch(feat[first[i] : first[i + 1]]) if live[i] else None}
-        for i, d in enumerate(ids.to_pylist())
+        {"local": i, "doc_id": d, "n": int(size[i]), "own": int(occupied[i, 0]), "above": int(occupied[i, 1]), "set": keys[i], "signs": bool(live[i]), "tag": tag}
+        for i, (d, tag) in enumerate(zip(ids.to_pylist(), t.column(2).to_pylist(), strict=True))
     ]
     cols = [[*some.tolist(), -1 - block % buckets], [block] * (len(some) + 1), [e[cut[k] : cut[k + 1]].tobytes() for k in some] + [None], [None] * len(some) + [facts]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SIGNED, strict=True)], schema=_SIGNED)
@@ -293,23 +296,24 @@ def _prefixes(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(sig, pa.int64()), "node": pa.array((block << 16) | local[keep], pa.int64())})
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp): the least node that each can reach over links (a, b). Labels fall and are shortened until they rest."""
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = stored(nodes.select("node", F.col("node").alias("comp")), "labels")
+    both = scratch.stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = scratch.stored(nodes.select("node", F.col("node").alias("comp")), "labels")
     while True:
         one = label.select(F.col("node").alias("a"), F.col("comp").alias("la"))
         two = label.select(F.col("node").alias("b"), F.col("comp").alias("lb"))
         seen = both.join(one, "a").join(two, "b").where("lb < la")
         lower = seen.select(F.col("a").alias("node"), "lb").unionByName(seen.select(F.col("la").alias("node"), "lb"))
         lower = lower.groupBy("node").agg(F.min("lb").alias("lb"))
-        hooked = stored(label.join(lower, "node", "left").select("node", F.least("comp", "lb").alias("comp"), F.col("lb").isNotNull().alias("moved")), "labels")
+        hooked = scratch.stored(label.join(lower, "node", "left").select("node", F.least("comp", "lb").alias("comp"), F.col("lb").isNotNull().alias("moved")), "labels")
         if not hooked.where("moved").limit(1).count():
+            scratch.drop(both, hooked)
             return label
         root = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        drop_stored(label)
-        label = stored(hooked.join(root, "comp").select("node", F.col("root").alias("comp")), "labels")
-        drop_stored(hooked)
+        scratch.drop(label)
+        label = scratch.stored(hooked.join(root, "comp").select("node", F.col("root").alias("comp")), "labels")
+        scratch.drop(hooked)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,58 +327,109 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.binary())], ["node", "feat"])
 
 
+def _links(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sets, in rising order, link."""
+    both = np.sort(np.concatenate((p, q)), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return DENOMINATOR * common >= NUMERATOR * (len(p) + len(q) - common)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs among (a, b, fa, fb) that link, on whole sets."""
     for batch in batches:
         x, y = (batch.column(i).to_pylist() for i in (2, 3))
-        ok = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = np.sort(np.concatenate((p, q)), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            ok.append(DENOMINATOR * common >= NUMERATOR * (len(p) + len(q) - common))
+        ok = [_links(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _pairs(rows: pa.Table, sketches: pa.Table) -> pa.Table:
-    """Pairs (a, b) across components that share a signature and may link by their sizes and sketches."""
-    col = {c: rows.column(c).to_numpy() for c in ("sig", "lo", "hi", "chunk", "node", "comp", "n")}
-    known, raw = sketches.column("k").to_numpy(), sketches.column("bits").to_pylist()
-    by_node = np.argsort(known, kind="stable")
-    at = by_node[np.searchsorted(known[by_node], col["node"])] if len(known) else np.empty(0, np.int64)
-    width = np.array([len(x) for x in raw], np.int64)[at]
-    table = {w: (keys := np.flatnonzero([len(x) == w for x in raw]), np.frombuffer(b"".join(raw[k] for k in keys), np.uint8).reshape(-1, w)) for w in np.unique(width).tolist()}
-    o = np.lexsort((col["node"], col["hi"], col["lo"], col["sig"]))
-    key = np.stack([col["sig"][o], col["lo"][o], col["hi"][o]], 1)
-    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))) if len(o) else np.empty(0, int)
-    found, seen = [], set()
-    for s, t in zip(first.tolist(), [*first[1:].tolist(), len(o)], strict=True):
-        i = o[s:t]
-        lo, hi = col["lo"][i[0]], col["hi"][i[0]]
-        same = (lo, hi, col["node"][i].tobytes())
-        if same in seen:  # signatures of one family tend to have the same members
+class Roots:
+    """Components that links join."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def of(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return int(i)
+
+    def all(self) -> np.ndarray:
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up
+
+
+def _joins(members: list[np.ndarray], left: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join components, among sets that share a signature.
+
+    ``members`` has the sets of each signature and ``left`` marks those of the first chunk; unless all are of
+    it, pairs are between it and the others.
+    """
+    size, inside = np.array([len(x) for x in sets]), bool(left.all())
+    bits = [np.frombuffer(sketch(x), np.uint8) for x in sets]
+    width, roots, found, seen = np.array([len(x) for x in bits]), Roots(int(comp.max(initial=-1)) + 1), [], set()
+    for i in members:
+        if (same := i.tobytes()) in seen:  # signatures of one family tend to have the same members
             continue
         seen.add(same)
-        left, right = i[col["chunk"][i] == lo], i[col["chunk"][i] == hi]
-        for wl in np.unique(width[left]).tolist():  # sketches of one length at a time
-            for wr in np.unique(width[right]).tolist():
-                a, b = left[width[left] == wl], right[width[right] == wr]
-                mb = table[wr][1][np.searchsorted(table[wr][0], at[b])]
+        own, other = (i, i) if inside else (i[left[i]], i[~left[i]])
+        for wl in np.unique(width[own]).tolist():  # sketches of one length at a time
+            for wr in np.unique(width[other]).tolist():
+                a, b = own[width[own] == wl], other[width[other] == wr]
+                mb = np.stack([bits[k] for k in b])
                 for part in range(0, len(a), 128):
-                    p = a[part : part + 128]
-                    pair = col["comp"][p][:, None] != col["comp"][b][None, :]
-                    if lo == hi:
-                        pair &= col["node"][p][:, None] < col["node"][b][None, :]
-                    na, nb = col["n"][p][:, None], col["n"][b][None, :]
+                    p, root = a[part : part + 128], roots.all()
+                    pair = root[comp[p]][:, None] != root[comp[b]][None, :]
+                    if inside:
+                        pair &= p[:, None] < b[None, :]
+                    na, nb = size[p][:, None], size[b][None, :]
                     pair &= DENOMINATOR * np.minimum(na, nb) >= NUMERATOR * np.maximum(na, nb)
-                    if pair.any():
-                        pair &= sketch_gap(table[wl][1][np.searchsorted(table[wl][0], at[p])], mb) * 7 <= na + nb
-                        x, y = np.nonzero(pair)
-                        found.append(np.stack([col["node"][p[x]], col["node"][b[y]]], 1))
-        if len(found) > 200:
-            found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
-    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+                    if not pair.any():
+                        continue
+                    pair &= sketch_gap(np.stack([bits[k] for k in p]), mb) * 7 <= na + nb
+                    for x, y in zip(*(k.tolist() for k in np.nonzero(pair)), strict=True):
+                        x, y = int(p[x]), int(b[y])
+                        r, t = roots.of(comp[x]), roots.of(comp[y])
+                        if r != t and _links(sets[x], sets[y]):
+                            roots.up[max(r, t)] = min(r, t)
+                            found.append((x, y))
+    return found
+
+
+def _pairs(rows: pa.Table) -> pa.Table:
+    """Links (a, b) that join components within a part's families."""
+    col = {c: rows.column(c).to_numpy() for c in ("lead", "lo", "hi", "chunk", "node", "comp")}
+    sigs, raw = rows.column("sigs").combine_chunks(), rows.column("feat").to_pylist()
+    at, flat = np.concatenate(([0], np.cumsum(pc.list_value_length(sigs).to_numpy(zero_copy_only=False)))).astype(np.int64), pc.list_flatten(sigs).to_numpy(zero_copy_only=False)
+    o = np.lexsort((col["node"], col["hi"], col["lo"], col["lead"]))
+    key = np.stack([col[c][o] for c in ("lead", "lo", "hi")], 1)
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))) if len(o) else np.empty(0, int)
+    found = []
+    for s, t in zip(first.tolist(), [*first[1:].tolist(), len(o)], strict=True):
+        i = o[s:t]
+        left = col["chunk"][i] == col["lo"][i[0]]
+        if col["lo"][i[0]] != col["hi"][i[0]] and left.all():
+            continue
+        _, comp = np.unique(col["comp"][i], return_inverse=True)
+        sig, who = np.concatenate([flat[at[k] : at[k + 1]] for k in i]), np.repeat(np.arange(len(i)), at[i + 1] - at[i])
+        by = np.argsort(sig, kind="stable")
+        members = np.split(who[by], np.flatnonzero(sig[by][1:] != sig[by][:-1]) + 1)
+        sets = [np.frombuffer(raw[k], np.uint64) for k in i]
+        found += [(int(col["node"][i[x]]), int(col["node"][i[y]])) for x, y in _joins([m for m in members if len(m) > 1], left, comp, sets)]
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def chunked(rows: DataFrame, group: str, parts: int) -> DataFrame:
+    """``rows`` (group, node, n, ...) with chunk, lo, hi and part: two chunks of a group's nodes meet as (lo, hi) in a part, each pair of chunks once."""
+    size = rows.groupBy(group).agg(F.count("*").alias("m"), (F.sum("n") * 8).alias("bytes")).where("m > 1")
+    chunks = F.greatest(F.lit(1.0), F.col("m") / GROUP, F.col("bytes") / GROUP_BYTES)
+    size = size.select(group, F.pow(F.lit(2), F.ceil(F.log2(chunks))).cast("int").alias("q"))
+    rows = rows.join(size, group).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    rows = rows.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "q")
+    return rows.withColumn("part", F.pmod(F.xxhash64(group, "lo", "hi"), F.lit(parts)).cast("int"))
 
 
 def _degrees(rows: pa.Table) -> pa.Table:
@@ -414,60 +469,57 @@ def _degrees(rows: pa.Table) -> pa.Table:
 
 def degrees(label: DataFrame, feats: DataFrame, weight: DataFrame, parts: int) -> DataFrame:
     """(node, linked): of each set (node, comp) with features, the rows whose different set links to it; weight is (node, n, w)."""
-    rows = label.join(weight, "node")
-    size = rows.groupBy("comp").agg(F.count("*").alias("m"), (F.sum("n") * 8).alias("bytes")).where("m > 1")
-    chunks = F.greatest(F.lit(1.0), F.col("m") / GROUP, F.col("bytes") / GROUP_BYTES)
-    size = size.select("comp", F.pow(F.lit(2), F.ceil(F.log2(chunks))).cast("int").alias("q"))
-    rows = rows.join(size, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    rows = rows.select("node", "comp", "n", "w", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("comp", "lo", "hi"), F.lit(parts)).cast("int")).join(feats, "node")
-    found = rows.groupBy("part").applyInArrow(_degrees, "node long, linked long")
+    rows = chunked(label.join(weight, "node"), "comp", parts).join(feats, "node")
+    found = rows.groupBy("part").applyInArrow(lean_group(_degrees), "node long, linked long")
     return found.groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False, tag_col: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies) of every row; n_copies counts the rows of equal set.
 
-    With ``with_links`` also n_links, the other rows that link to it, copies among them.
+    With ``with_links`` also n_links, the other rows that link to it, copies among them. With ``tag_col``, a
+    column of 64-bit integers, also tag, its value, and group_id, which tells components apart
+    even where rows that repeat an id give several the same least id.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scratch = Scratch(spark)
+    stored = scratch.stored
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(tag_col).alias("tag") if tag_col else F.lit(None).cast("long").alias("tag"))
     total = d.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    back = stored(d.mapInArrow(_sign(buckets), SIGNED).groupBy("bucket").applyInArrow(_shared, SIGNED), "jaccard-shared")
+    back = stored(d.mapInArrow(lean(_sign(buckets)), SIGNED).groupBy("bucket").applyInArrow(lean_group(_shared), SIGNED), "jaccard-shared")
     fact = back.where("facts is not null").select("block", F.explode("facts").alias("f")).select("block", "f.*")
     fact = stored(fact.withColumn("node", F.col("block") * 65536 + F.col("local")), "jaccard-facts")
 
     # Equal sets: one node stands for all; blocks hear which of theirs don't.
     equal = stored(fact.where("doc_id is not null and n > 0").groupBy("set").agg(F.min("node").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies")), "jaccard-sets")
-    spare = fact.where("bits is not null").select("block", "local", "node", "set").join(equal.select("set", "rep"), "set").where("node != rep")
+    spare = fact.where("signs").select("block", "local", "node", "set").join(equal.select("set", "rep"), "set").where("node != rep")
     spare = spare.select(F.col("block").alias("home"), "local")
-    kept = back.groupBy("block").cogroup(spare.groupBy("home")).applyInArrow(_prefixes, "sig long, node long")
+    kept = back.groupBy("block").cogroup(spare.groupBy("home")).applyInArrow(lean_group(_prefixes), "sig long, node long")
     kept = stored(kept, "jaccard-kept")
-    drop_stored(back)
-    again = kept.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1")
-    shared = stored(kept.join(stored(again, "jaccard-sigs"), "sig"), "jaccard-shares")  # (sig, node, m)
-    drop_stored(kept)
+    scratch.drop(back)
+    again = stored(kept.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"), "jaccard-sigs")
+    shared = stored(kept.join(again, "sig"), "jaccard-shares")  # (sig, node, m)
+    scratch.drop(kept, again)
 
     # Sets of all that may link, from their texts.
     who = shared.select("node").distinct()
-    who = stored(who.join(fact.where("bits is not null").select("node", "doc_id", "set", "n", "bits"), "node"), "jaccard-nodes")
+    who = stored(who.join(fact.where("signs").select("node", "doc_id", "set", "n"), "node"), "jaccard-nodes")
     texts = d.join(who.select(F.col("doc_id").alias("k"), "node", "set"), F.col("doc_id") == F.col("k")).select("node", "set", "text")
-    feats = stored(texts.mapInArrow(_features, "node long, feat binary").dropDuplicates(["node"]), "jaccard-features")
+    feats = stored(texts.mapInArrow(lean(_features), "node long, feat binary").dropDuplicates(["node"]), "jaccard-features")
     if feats.count() != who.count():
         raise RuntimeError("the table changed between two passes")
 
     def verified(pairs: DataFrame) -> DataFrame:
         fa, fb = feats.select(F.col("node").alias("a"), F.col("feat").alias("fa")), feats.select(F.col("node").alias("b"), F.col("feat").alias("fb"))
-        return pairs.select("a", "b").join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(_linked, "a long, b long")
+        return pairs.select("a", "b").join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(lean(_linked), "a long, b long")
 
     links, label = [], stored(who.select("node", F.col("node").alias("comp")), "labels")
     for r in range(ROUNDS + 1):
         open_ = shared.join(label, "node").select("sig", "node", "comp")
-        mixed_ = open_.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("node", F.xxhash64("node", F.lit(r)) if r else F.col("node")).alias("lead"), F.count("*").alias("m")).where("c0 < c1")
-        mixed_ = stored(mixed_.select("sig", "lead", "m"), "jaccard-open")
+        mixed_ = open_.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("node", F.xxhash64("node", F.lit(r)) if r else F.col("node")).alias("lead")).where("c0 < c1")
+        mixed_ = stored(mixed_.select("sig", "lead"), "jaccard-open")
         if not mixed_.limit(1).count():
             break
         if r < ROUNDS:
@@ -475,29 +527,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             tried = open_.join(mixed_, "sig").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("n"), F.min("comp").alias("comp"))
             tried = tried.join(lead, "lead").where("comp != lead_comp")
             best = tried.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "lead")), False), 1, LEADERS).alias("x"))
-            pairs = best.select(F.col("node").alias("a"), F.explode("x").alias("x")).select("a", F.col("x.lead").alias("b"))
+            found = verified(best.select(F.col("node").alias("a"), F.explode("x").alias("x")).select("a", F.col("x.lead").alias("b")))
         else:
-            # Signatures with one leader mostly come from one family: they meet in one part, which
-            # tries each pair once. A signature with many sets is dealt out by pairs of chunks.
-            chunks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("m") / GROUP)))).cast("int")
-            rows = open_.join(mixed_, "sig").withColumn("q", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
-            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-            rows = rows.select("sig", "node", "comp", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "lead")
-            part = F.pmod(F.xxhash64("lead", "lo", "hi"), F.lit(buckets * 4)).cast("int")
-            rows = stored(rows.join(who.select("node", "n"), "node").withColumn("part", part).drop("lead"), "jaccard-parts")
-            held = rows.select(F.col("part").alias("home"), F.col("node").alias("k")).distinct()
-            held = held.join(who.select(F.col("node").alias("k"), "bits"), "k")
-            pairs = rows.groupBy("part").cogroup(held.groupBy("home")).applyInArrow(_pairs, "a long, b long").distinct()
-        links.append(stored(verified(pairs), "jaccard-links"))
+            rows = open_.join(mixed_, "sig").groupBy("lead", "node").agg(F.min("comp").alias("comp"), F.collect_list("sig").alias("sigs"))
+            rows = stored(rows.join(who.select("node", "n"), "node"), "jaccard-families")
+            found = chunked(rows, "lead", buckets * 4).join(feats, "node").groupBy("part").applyInArrow(lean_group(_pairs), "a long, b long")
+        links.append(stored(found, "jaccard-links"))
         every = links[0]
         for x in links[1:]:
             every = every.unionByName(x)
-        label = components(who, every)
+        scratch.drop(label, mixed_)
+        label = components(who, every, scratch)
 
     # From nodes to sets to rows.
     comp = label.join(equal.select(F.col("rep").alias("node"), "first_id"), "node")
     least = stored(comp.groupBy("comp").agg(F.min("first_id").alias("component")), "jaccard-components")
-    named = stored(label.join(least, "comp").select(F.col("node").alias("rep"), "component"), "jaccard-named")
+    named = stored(label.join(least, "comp").select(F.col("node").alias("rep"), "comp", "component"), "jaccard-named")
     sets = equal.join(named, "rep", "left")
     more = []
     if with_links:
@@ -505,8 +550,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         linked = stored(degrees(label, feats, weight, buckets * 4), "jaccard-degrees")
         sets = sets.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("n_links", F.col("n_copies") - 1 + F.coalesce("linked", F.lit(0)))
         more = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
-    sets = stored(sets.select("set", F.coalesce("component", "first_id").alias("component"), "n_copies", *["n_links"] * with_links), "jaccard-final")
+    sets = stored(sets.select("set", F.coalesce("comp", "rep").alias("comp"), F.coalesce("component", "first_id").alias("component"), "n_copies", *["n_links"] * with_links), "jaccard-final")
+    scratch.drop_but(fact, sets)
     # Empty sets and null ids have no partner: their key is their own.
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set")).otherwise(F.concat(F.lit("-").cast("binary"), F.col("node").cast("string").cast("binary")))
-    rows = fact.select("doc_id", "n", own.alias("set")).join(sets, "set", "left")
+    if tag_col:
+        more += ["tag", F.coalesce("comp", "node").alias("group_id")]
+    rows = fact.select("doc_id", "n", "node", "tag", own.alias("set")).join(sets, "set", "left")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), *more)

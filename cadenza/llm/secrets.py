@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import stored
+from cadenza.llm.common import fresh, stored
 
 #: Base kinds in the order in which they are listed, then the linked kinds.
 BASE = ("assign", "access", "hex")
@@ -130,7 +130,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFra
     joined = joined.groupBy("h", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = joined.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
     cuts = stored(cuts, "secret-cuts")
-    key, mark = "__h", "__cuts"
+    key, mark = fresh(docs, "h"), fresh(docs, "cuts")
     hit = F.lit(False)
     for k in KINDS[:-1]:
         if k not in ("identifier",):

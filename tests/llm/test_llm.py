@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -284,6 +285,129 @@ def test_packing(spark, odd, docs, none):
     assert packing.pack(none, TOKENIZER).count() == 0
 
 
+def test_packing_memo_sheds(monkeypatch):
+    """Ids are the library's whatever has been forgotten."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "MEMO_WORDS", 40)
+    r, t, memo = random.Random(5), library(), packing.Memo(TOKENIZER)
+    for _ in range(60):
+        texts = [" ".join("".join(r.choice("abcdé") for _ in range(r.randint(1, 5))) for _ in range(12)) for _ in range(3)]
+        assert [x.tolist() for x in packing.tokens(pa.array(texts), memo)] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    assert len(memo.number) < 100
+
+
+def test_packing_tree_loses_no_room(spark, monkeypatch):
+    """Many small units, most bins over half full: whatever can join joins, over several rounds."""
+    monkeypatch.setattr(packing, "UNIT_PIECES", 5)
+    word = "the "
+    one = len(library().encode("the", add_special_tokens=False).ids)
+    sizes = [2600, 2500, 2400, 2300, 1400] * 30 + [900] * 40
+    rows = [(i, word * (n // one)) for i, n in enumerate(sizes)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), TOKENIZER).collect()
+    assert len(got) == len(rows)
+    seqs: dict[int, list] = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in seqs.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    halves = sorted(sum(n for _, n in s) for s in seqs.values())
+    assert halves[1] > 2048
+    assert sorted(packing.ranks(np.array([4096, 10, 4090, 7])), key=str) == [0, 1, None, None]
+
+
+def test_near_duplicates_of_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    near = a + " more"
+    rows = [(3, a, 1), (7, b, 2), (7, a, 3), (9, near, 4), (None, a, 5), (11, None, 6), (11, None, 7), (12, "", 8), (3, " ".join(f"u{i}" for i in range(40)), 9), (7, b, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag int")
+    got = corpus_pipeline.near_duplicates_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+    assert kept == sorted([("3", a), ("7", b), ("None", a), ("11", ""), ("12", ""), ("3", rows[8][1])])
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """All stages over a small corpus with clashing columns; the ones that a plain version can decide are decided again."""
+    import corpus_pipeline
+
+    src = SMALL
+    docs = spark.read.parquet(f"{src}/documents.parquet").withColumn("score", F.lit("x")).withColumn("h", F.lit(1)).withColumn("component_id", F.lit(2))
+    docs = corpus_pipeline.stored(docs, "test-docs")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, src)
+    good = corpus_pipeline.stored(stages["quality"](spark, clean, src), "test-good")
+    single = corpus_pipeline.stored(stages["near_duplicates"](spark, good, src), "test-single")
+    assert clean.columns == good.columns == single.columns == docs.columns
+    comp = brute_components([(r.doc_id, r.text) for r in good.collect()])
+    assert sorted(r.doc_id for r in single.collect()) == sorted(i for i, (_, c) in comp.items() if i == c)
+    bare = corpus_pipeline.stored(stages["secrets"](spark, single, src), "test-bare")
+    assert bare.columns == docs.columns and bare.count() == single.count()
+    assert not any(base_spans(r.text) for r in bare.collect())
+    pieces = stages["packing"](spark, bare, src)
+    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in bare.collect()}
+    empty = docs.limit(0)
+    for name in stages:
+        assert stages[name](spark, empty, src).count() == 0
+
+
+def test_quality_recomputed_by_hand(spark):
+    """Every score again with plain zstandard calls on the whole text."""
+    import zstandard
+
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    m = quality.trained(docs, labels)
+    got = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        size = {}
+        for name, d in (("good", m.good), ("bad", m.bad)):
+            tool = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False)
+            size[name] = sum(len(tool.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024))
+        x = (size["bad"] - size["good"]) / max(1, len(raw))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(-500, min(500, m.slope * (x - m.cut)))))) < 1e-6
+    some = ["good words " * 300, "x" * 5000, "tail " * 400]
+    assert quality.dictionary(some) == quality.dictionary(some[::-1])
+
+
+def test_toxicity_recomputed_by_hand(spark, monkeypatch):
+    """Every score again, one filter and place at a time; stretches give the same scores as whole texts."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["the", "und", "les", "por", "zurg", "a!b", "..."]) for _ in range(n)) for n in (0, 1, 2, 3, 7, 60, 200)]
+    net = toxicity.fit([(t + " zurg" * (i % 2), i % 2) for i, t in enumerate(texts * 6)])
+    a, b, _, starts = toxicity.words_of(pa.array(texts))
+    z = net.logits(a, b, starts)
+    for i in range(len(texts)):
+        x, y = a[starts[i] : starts[i + 1]], b[starts[i] : starts[i + 1]]
+        e = [net.rows[p] + net.rows[q] for p, q in zip(x, y, strict=True)] + [np.zeros(toxicity.WIDTH)] * 3
+        h = []
+        for s, m in zip(toxicity.SPANS, net.filters, strict=True):
+            h += [max(0.0, *(float(np.concatenate(e[p : p + s]) @ m[:, f]) for p in range(max(1, len(x))))) for f in range(toxicity.FILTERS)]
+        assert abs(float(np.dot(h, net.out)) + net.bias - z[i]) < 1e-3
+    for stretch in (1, 2, 50):
+        monkeypatch.setattr(toxicity, "STRETCH", stretch)
+        assert np.allclose(net.logits(a, b, starts), z, atol=1e-4)
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, -1.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0]), (100, [1e15, 1e15])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fit = lambda n: max(-(2**63), min(2**63 - 1, n))
+    q = {i: [fit(math.floor(x * 1024)) for x in e] for i, e in rows}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(v.where("vec_id % 100 = 0"), v, 3).collect()}
+    for i in (0, 100):
+        best = sorted(((-fit(sum(x * y for x, y in zip(q[i], q[j], strict=True))), j) for j in q if j != i))[:3]
+        assert [got[i, k + 1] for k in range(3)] == [(j, -s) for s, j in best]
+
+
 def test_best_fit_fills_the_fullest():
     assert sorted(map(sorted, packing.best_fit([6, 5, 4, 3, 2], 10))) == [[0, 2], [1, 3, 4]]
     r = random.Random(2)
