@@ -3,9 +3,12 @@
 Stages take (spark, docs, sf_dir); all but the last return the columns of documents. run()
 writes each stage's documents as Parquet in the shared scratch folder and reads them back.
 
-Edge cases: documents without text are kept by the first two stages if they score like clean
-ones, have no near duplicate, no secret, and pack as an end mark alone. Documents without
-an id are nobody's duplicate. An id is a document: of rows that repeat one with its text, one stays.
+Edge cases, of all stages: documents without text are kept by the first two stages if they score
+like clean ones, have no near duplicate, no secret, and pack as an end mark alone. Documents
+without an id are nobody's duplicate. Rows that repeat an id with its text are copies, of which one
+stays; rows that repeat an id with other texts are documents of their own. Texts are taken whole,
+however long. An empty table gives an empty table. Further columns, whatever their names, are
+carried along unread. Ties: a score equal to a threshold counts as the stage's docstring says.
 """
 
 from __future__ import annotations
@@ -14,38 +17,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import ngram_join, packing, quality, secrets, toxicity
-from cadenza.llm.common import stored, table
+from cadenza.llm.common import fresh, stored, table
 from cadenza.llm.queries import TOKENIZER
 
 
-def _kept(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
-    return scored.where(keep).select(*docs.columns)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier, trained on those among docs with a label, doesn't reject."""
-    net = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, toxicity.score_texts(docs, net, score_col="__score"), F.col("__score") < toxicity.THRESHOLD)
+    """Documents that the toxicity classifier, trained on those among docs with a label, doesn't reject: of scores below the threshold.
+
+    Without labels of both classes all stay; empty texts are scored as such.
+    """
+    net, score = toxicity.trained(docs, table(spark, sf_dir, "labels")), fresh(docs, "score")
+    return toxicity.score_texts(docs, net, score_col=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier doesn't reject."""
-    model = quality.trained(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, quality.score_texts(docs, model, score_col="__score"), F.col("__score") >= quality.THRESHOLD)
+    """Documents that the compression classifier doesn't reject: of scores that reach the threshold.
+
+    Without labels of both classes all stay; empty texts are scored as such.
+    """
+    model, score = quality.trained(docs, table(spark, sf_dir, "labels")), fresh(docs, "score")
+    return quality.score_texts(docs, model, score_col=score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document of least id."""
-    found = ngram_join.jaccard_components(docs)
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__times"))
-    stay = stored(stay.withColumnRenamed("doc_id", "__id"), "near-stay")
-    rows = docs.join(stay, F.col("doc_id") == F.col("__id"))
-    once, more = rows.where("__times = 1").select(*docs.columns), rows.where("__times > 1").select(*docs.columns)
-    return once.unionByName(more.dropDuplicates(["doc_id", "text"])).unionByName(docs.where("doc_id is null"))
+    """Of each group of near duplicates, the row of least id and, under that, of least text hash; one of rows that are equal.
+
+    Rows without an id and rows without words are nobody's duplicate; of those that repeat an id and its text one stays.
+    """
+    tag, key, tags, times = (fresh(docs, x) for x in ("tag", "near_id", "near_tag", "near_times"))
+    tagged = docs.withColumn(tag, F.xxhash64("text"))
+    found = stored(ngram_join.jaccard_components(tagged, tag_col=tag).where("doc_id is not null").select("doc_id", "tag", "group_id"), "near-rows")
+    first = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "tag")).alias("x")).select("x.*").distinct()
+    count = found.groupBy("doc_id", "tag").agg(F.count("*").alias(times))
+    stay = stored(first.join(count, ["doc_id", "tag"]).select(F.col("doc_id").alias(key), F.col("tag").alias(tags), times), "near-stay")
+    rows = tagged.join(stay, (F.col("doc_id") == F.col(key)) & (F.col(tag) == F.col(tags)))
+    once, more = rows.where(F.col(times) == 1), rows.where(F.col(times) > 1).dropDuplicates([key, tags])
+    return once.select(*docs.columns).unionByName(more.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets that the scan reports replaced in their texts."""
+    """All documents, with the secrets that the scan reports replaced in their texts; null and empty texts stay as they are."""
     out = secrets.redact(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -54,7 +65,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces and their places in sequences."""
+    """Each document's pieces and their places in sequences; null and empty texts are an end mark alone."""
     return packing.pack(docs, TOKENIZER)
 
 
