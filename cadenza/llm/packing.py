@@ -37,7 +37,7 @@ UNIT_PIECES = 100_000  #: pieces packed at once
 FAN_BITS = 3
 FAN_IN = 1 << FAN_BITS  #: units that meet in the next round
 NEARLY_FULL = CAPACITY - 8  #: bins of this many tokens are emitted at once
-MEMO_WORDS = 250_000  #: words whose ids a worker remembers
+MEMO_WORDS = 500_000  #: words whose ids a worker remembers
 SLICE_ROWS = 1000  #: texts tokenised at a time
 
 #: Bins of a unit's pieces; rank counts its underfull bins from the emptiest, null for the others.
@@ -47,30 +47,37 @@ MOVES = "node long, item long, bin long, offset int, fill int, rank int"
 
 
 class Memo:
-    """Ids of words as the tokenizer gives them, kept for the worker's later tasks; forgets all when it is full."""
+    """Ids of words as the tokenizer gives them, kept for the worker's later tasks; when full it forgets the rarer half."""
 
     def __init__(self, path: str):
-        self.path = path
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.first = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.path, self.number = path, {}
+        self.flat, self.first, self.met = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def shed(self) -> None:
+        """Forget all but the words that most slices had."""
+        some = list(self.number)
+        keep = np.sort(np.argsort(-self.met[: len(some)], kind="stable")[: MEMO_WORDS // 2])
+        n = np.diff(self.first[: len(some) + 1])
+        ids, at = gathered(self.flat, self.first[: len(some)], n, keep)
+        self.number = {some[k]: i for i, k in enumerate(keep.tolist())}
+        self.flat, self.first, self.met = ids, at, np.concatenate((self.met[keep] // 2, np.zeros(1, np.int32)))
 
     def __call__(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, the first id of each word, and how many it has."""
         some = distinct.to_pylist()
-        if len(self.number) + len(some) > MEMO_WORDS:
-            self.clear()
+        if len(self.number) > MEMO_WORDS:
+            self.shed()
         number = self.number
         if new := [w for w in some if w not in number]:
             ids, n = encoded(self.path, new)
             known, end = len(number), int(self.first[len(number)])
-            self.flat, self.first = _room(self.flat, end + len(ids)), _room(self.first, known + len(new) + 1)
+            self.flat, self.first, self.met = _room(self.flat, end + len(ids)), _room(self.first, known + len(new) + 1), _room(self.met, known + len(new) + 1)
             self.flat[end : end + len(ids)] = ids
             self.first[known + 1 : known + len(new) + 1] = end + np.cumsum(n)
+            self.met[known : known + len(new)] = 0
             number.update(zip(new, range(known, known + len(new)), strict=True))
         code = np.fromiter(map(number.__getitem__, some), np.int64, len(some))
+        self.met[code] += 1
         return self.flat, self.first[code], self.first[code + 1] - self.first[code]
 
 
