@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,6 +69,17 @@ def with_end_mark(text: str | Column) -> Column:
     return F.when(bare, F.concat(t, F.lit("。"))).otherwise(_c(text))
 
 
+def replaced_terms(text: str | Column, terms: dict[str, str]) -> tuple[Column, Column]:
+    """How many terms occur, longer ones before shorter, and the text with each replaced by what it stands for."""
+    longest = sorted(terms, key=lambda t: (-len(t), t))
+    pattern = "|".join(re.escape(t) for t in longest)
+    found = F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(0))
+    other = F.create_map(*(F.lit(x) for t in longest for x in (t, terms[t])))
+    parts = F.split(_c(text), pattern, -1)
+    whole = F.concat(F.element_at(parts, 1), F.array_join(F.zip_with(found, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda m, p: F.concat(other[m], p)), ""))
+    return F.size(found), whole
+
+
 def compact(text: str | Column) -> Column:
     return F.regexp_replace(_c(text), r"\s+", "")
 

@@ -134,3 +134,44 @@ def disagreement(ab: Column, ac: Column, bc: Column, length_penalty: Column) ->
     """Score in 0..1 from three similarities, a being the text in question."""
     mean = (ab + ac) / 2
     return F.least(F.lit(1.0), 0.62 * (1 - mean) + 0.25 * F.greatest(F.lit(0.0), bc - mean) + 0.13 * length_penalty)
+
+
+def consistent_recommendations(candidates: DataFrame) -> DataFrame:
+    """(rec_id, model, votes, compatible, consistent) from candidates (rec_id, k, model).
+
+    A recommended number of speakers is consistent if, of the candidates with at least as many (and two), six in ten and
+    two at least recommend it.
+    """
+    times = candidates.groupBy("rec_id", "k", "model").agg(F.count("*").alias("n"))  # few rows a recording
+    said = times.select("rec_id", F.col("model").alias("said")).distinct()
+    met = said.join(times, "rec_id").where("k >= greatest(2, said)")
+    per = met.groupBy("rec_id", "said").agg(F.sum(F.when(F.col("model") == F.col("said"), F.col("n")).otherwise(0)).alias("votes"), F.sum("n").alias("compatible"))
+    rows = said.join(per, ["rec_id", "said"], "left").na.fill(0)
+    yes = F.expr("said > 0 AND compatible > 0 AND votes >= greatest(2, floor(0.6 * compatible))")
+    return rows.select("rec_id", F.col("said").alias("model"), "votes", "compatible", yes.alias("consistent"))
+
+
+def auto_merge(summary: DataFrame) -> DataFrame:
+    """(rec_id, merge): whether speakers marked mergeable may be merged at once, from speaker summaries with a column mergeable.
+
+    Four speakers or more: yes. Three: if a mergeable one is short, rare, or made of short fillers.
+    """
+    slight = F.expr("mergeable AND (duration_s < 18 OR segment_ratio < 0.04 OR (turns >= 5 AND short_ratio >= 0.55 AND filler_ratio >= 0.45))")
+    per = summary.groupBy("rec_id").agg(F.count("*").alias("n"), F.bool_or("mergeable").alias("some"), F.bool_or(slight).alias("slight"))
+    return per.select("rec_id", F.expr("some AND (n >= 4 OR (n = 3 AND slight))").alias("merge"))
+
+
+#: Kinds of wrong sequences: a missed change, an extra one, wrong speakers or order.
+MISSED, EXTRA, WRONG = "漏掉换人", "额外误切", "人员或顺序错误"
+
+
+def collapsed(labels: Column) -> Column:
+    """An array of labels without repeats in a row."""
+    return F.filter(labels, lambda x, i: (i == 0) | ~x.eqNullSafe(F.try_element_at(labels, i)))
+
+
+def error_type(current: Column, gold: Column) -> Column:
+    """Of two sequences of labels: empty if they collapse to the same, else what is wrong with the current one."""
+    a, b = collapsed(current), collapsed(gold)
+    kind = F.when(F.size(a) < F.size(b), MISSED).when(F.size(a) > F.size(b), EXTRA).otherwise(WRONG)
+    return F.when(a == b, "").otherwise(kind)

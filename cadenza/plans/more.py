@@ -11,6 +11,7 @@ from cadenza.functions import udfs
 from cadenza.operators import folds, select
 from cadenza.operators import intervals as iv
 from cadenza.operators import relate as rl
+from cadenza.operators import review as rv
 from cadenza.operators import runs as rn
 from cadenza.operators.joins import in_ranges
 from cadenza.plans.registry import query
@@ -118,10 +119,18 @@ def agg_turn_metrics_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("items"), F.count_if(b).alias("baseline"), F.count_if(c).alias("current"), F.count_if(~b & c).alias("repaired"), F.count_if(b & ~c).alias("regressions"))
 
 
-@query("SELECT conv_id AS rec_id, CASE WHEN count(*) < 4 THEN 'missed' WHEN count(*) > 6 THEN 'extra' ELSE 'wrong' END AS error_type FROM conversations GROUP BY 1", timeline=False)
+@query(
+    """WITH r AS (SELECT rec_id, seg_idx // 4 AS item, seg_idx, speaker AS g, CASE WHEN seg_idx // 4 % 3 = 0 THEN coalesce(speaker, '') ELSE predicted END AS c FROM segments),
+    n AS (SELECT rec_id, item, list(coalesce(g, '') ORDER BY seg_idx) AS g, list(c ORDER BY seg_idx) AS c FROM r GROUP BY 1, 2),
+    k AS (SELECT rec_id, item, [g[i] FOR i IN range(1, len(g) + 1) IF i = 1 OR g[i] <> g[i - 1]] AS g, [c[i] FOR i IN range(1, len(c) + 1) IF i = 1 OR c[i] <> c[i - 1]] AS c FROM n)
+    SELECT rec_id, item, CASE WHEN c = g THEN '' WHEN len(c) < len(g) THEN '漏掉换人' WHEN len(c) > len(g) THEN '额外误切' ELSE '人员或顺序错误' END AS error_type FROM k"""
+)
 def agg_error_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size(F.collect_list("seg_idx"))
-    return turns(spark, sf_dir).groupBy("rec_id").agg(F.when(n < 4, "missed").when(n > 6, "extra").otherwise("wrong").alias("error_type"))
+    """Every four rows are an item, whose predicted labels are right in one item of three."""
+    s = segments(spark, sf_dir).withColumn("item", F.expr("seg_idx div 4"))
+    said = F.expr("CASE WHEN item % 3 = 0 THEN coalesce(speaker, '') ELSE predicted END")
+    rows = s.groupBy("rec_id", "item").agg(F.array_sort(F.collect_list(F.struct("seg_idx", F.coalesce("speaker", F.lit("")).alias("g"), said.alias("c")))).alias("x"))
+    return rows.select("rec_id", "item", rv.error_type(F.col("x.c"), F.col("x.g")).alias("error_type"))
 
 
 @query(

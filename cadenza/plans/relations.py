@@ -10,11 +10,12 @@ from cadenza.operators import vectors as vc
 from cadenza.plans.registry import query
 from cadenza.sources.adapters import ranges, segments, table
 
-_TURNS = 'tn AS (SELECT rec_id, start, "end", predicted AS speaker FROM segments WHERE seg_idx % 4 = 0)'
+#: Turns of another labelling: every segment, a little later.
+_TURNS = 'tn AS (SELECT rec_id, start + 1.25 AS start, "end" + 1.25 AS "end", predicted AS speaker FROM segments)'
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).where("seg_idx % 4 = 0").select("rec_id", "start", "end", F.col("predicted").alias("speaker"))
+    return segments(spark, sf_dir).select("rec_id", (F.col("start") + 1.25).alias("start"), (F.col("end") + 1.25).alias("end"), F.col("predicted").alias("speaker"))
 
 
 @query(
@@ -57,11 +58,11 @@ def join_asof_active_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.asof_segment(s.select("rec_id", F.expr("CAST(seg_idx * 2.5BD + 0.01BD AS DOUBLE)").alias("t")), s)
 
 
-_WIN = "win AS (SELECT rec_id, seg_idx AS win, start - 1 AS start, \"end\" + 1 AS \"end\" FROM segments WHERE seg_idx % 10 = 5)"
+_WIN = "win AS (SELECT rec_id, seg_idx AS win, start - 1 AS start, \"end\" + 1 AS \"end\" FROM segments)"
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir).where("seg_idx % 10 = 5")
+    s = segments(spark, sf_dir)
     return s.select("rec_id", F.col("seg_idx").alias("win"), (F.col("start") - 1).alias("start"), (F.col("end") + 1).alias("end"))
 
 

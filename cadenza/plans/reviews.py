@@ -68,10 +68,14 @@ def dz_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.chosen(rv.candidates(segments(spark, sf_dir), (2, 3, 5), _label))
 
 
-@query(f"WITH {_SUMMARY}, {_FLAGS} SELECT rec_id, CASE WHEN formed >= 4 AND tiny + fragmented > 0 THEN true ELSE false END AS merge FROM scored")
+@query(
+    f"""WITH {_SUMMARY}, cand AS (SELECT *, count(*) OVER (PARTITION BY rec_id) AS n, segments <= 2 OR duration_s < 20 OR turns > 12 AS m FROM summary WHERE rec_id % 3 = 0 OR speaker IN ('view', 'click', 'error'))
+    SELECT rec_id, bool_or(m) AND (max(n) >= 4 OR (max(n) = 3 AND bool_or(m AND (duration_s < 18 OR segment_ratio < 0.04 OR (turns >= 5 AND short_ratio >= 0.55 AND filler_ratio >= 0.45))))) AS merge FROM cand GROUP BY 1"""
+)
 def dz_guard_auto_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = rn.score_candidates(rn.speaker_summary(segments(spark, sf_dir)), 5)
-    return s.select("rec_id", F.expr("formed >= 4 AND tiny + fragmented > 0").alias("merge"))
+    """Recordings with all their speakers and, for two in three of them, with the three that are named."""
+    s = rn.speaker_summary(segments(spark, sf_dir)).where("rec_id % 3 = 0 OR speaker IN ('view', 'click', 'error')")
+    return rv.auto_merge(s.withColumn("mergeable", F.expr("segments <= 2 OR duration_s < 20 OR turns > 12")))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as tx
 from cadenza.functions import udfs
-from cadenza.operators import folds, integrity, select
+from cadenza.operators import folds, integrity, layers, select
 from cadenza.operators import intervals as iv
 from cadenza.plans.registry import query
 from cadenza.plans.timeline import _sides
@@ -186,10 +186,11 @@ def agg_gold_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.sum(udfs.token_distance("a", "b")).alias("edits"), F.sum(F.size("a")).alias("tokens"))
 
 
-@query()
-def agg_der_jer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diarization and Jaccard error with the best mapping of predicted to reference speakers."""
+def _errors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Seconds of each kind by recording, each reference speaker's Jaccard error, and the numbers of speakers."""
+    # The few pairs of sets of a recording stand for all their stretches; Spark reuses their exchange for what reads them.
     active = iv.active_sets(*_sides(spark, sf_dir))
+    active = active.groupBy("rec_id", "ref", "pred").agg(F.sum(F.col("end") - F.col("start")).alias("end")).withColumn("start", F.lit(0.0))
     parts, pairs = iv.error_parts(active), iv.pair_seconds(active)
     own = active.select("rec_id", (F.col("end") - F.col("start")).alias("d"), "ref", "pred")
     refs = own.select("rec_id", F.explode("ref").alias("ref"), "d").groupBy("rec_id", "ref").agg(F.sum("d").alias("ref_s"))
@@ -202,7 +203,16 @@ def agg_der_jer(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = folds.grouped(pairs, assign, "rec_id long, pred string, ref string, both double", order=("pred", "ref"))
     per = refs.join(mapped, ["rec_id", "ref"], "left").join(preds, ["rec_id", "pred"], "left")
     jer = F.coalesce(1 - F.col("both") / (F.col("ref_s") + F.col("pred_s") - F.col("both")), F.lit(1.0))
-    score = per.groupBy("rec_id").agg(F.avg(jer).alias("jer"), F.sum(F.coalesce("both", F.lit(0.0))).alias("correct"))
+    per = per.select("rec_id", "ref", jer.alias("jer"), F.coalesce("both", F.lit(0.0)).alias("correct"))
+    number = lambda side: own.select("rec_id", F.explode(side).alias("x")).groupBy("rec_id").agg(F.count_distinct("x").alias(f"{side}_speakers"))
+    return parts, per, number("ref").join(number("pred"), "rec_id", "full")
+
+
+@query()
+def agg_der_jer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diarization and Jaccard error with the best mapping of predicted to reference speakers."""
+    parts, per, _ = _errors(spark, sf_dir)
+    score = per.groupBy("rec_id").agg(F.avg("jer").alias("jer"), F.sum("correct").alias("correct"))
     rows = parts.join(score, "rec_id")
     confusion = F.col("matchable_s") - F.col("correct")
     der = (F.col("miss_s") + F.col("false_alarm_s") + confusion) / F.col("reference_s")
@@ -211,9 +221,15 @@ def agg_der_jer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def agg_der_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = agg_der_jer(spark, sf_dir)
-    total = lambda c: F.sum(c)
-    return r.agg(F.round((total("miss_s") + total("false_alarm_s") + total("confusion_s")) / total("reference_s"), 6).alias("der"), F.round(F.avg("jer"), 6).alias("jer"), F.count("*").alias("recordings"))
+    """Error of all recordings: seconds are summed, Jaccard errors averaged over all speakers, differences in numbers of speakers averaged."""
+    parts, per, number = _errors(spark, sf_dir)
+    speakers = per.agg(F.round(F.avg("jer"), 6).alias("jer"), F.sum("correct").alias("correct"))
+    rows = parts.agg(*(F.sum(c).alias(c) for c in ("reference_s", "miss_s", "false_alarm_s", "matchable_s")), F.count("*").alias("recordings"))
+    off = F.col("pred_speakers") - F.col("ref_speakers")
+    counts = number.na.fill(0).agg(F.round(F.avg(F.abs(off)), 6).alias("speaker_count_error"), F.round(F.avg((off == 0).cast("int")), 6).alias("speaker_count_right"))
+    der = (F.col("miss_s") + F.col("false_alarm_s") + F.col("matchable_s") - F.col("correct")) / F.col("reference_s")
+    one = rows.crossJoin(speakers).crossJoin(counts)  # one row each
+    return one.select(F.round(der, 6).alias("der"), "jer", "speaker_count_error", "speaker_count_right", "recordings")
 
 
 def _fold(spark: SparkSession, sf_dir: str, f, schema: str) -> DataFrame:
@@ -250,14 +266,25 @@ def win_merge_single_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(spark, sf_dir, lambda rows: folds.merge_fragments(rows, 1.2, 0.8, 8), "rec_id long, seg_idx int, start double, end double, text string")
 
 
-@query()
+@query(
+    """WITH a AS (SELECT rec_id, seg_idx, event_type AS t FROM segments JOIN events USING (event_id)), n AS (SELECT *, CASE WHEN t = lag(t) OVER (PARTITION BY rec_id ORDER BY seg_idx) THEN 0 ELSE 1 END AS new FROM a),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY rec_id ORDER BY seg_idx) AS i FROM n), k AS (SELECT rec_id, seg_idx, row_number() OVER (PARTITION BY rec_id, i ORDER BY seg_idx) - 1 AS k, count(*) OVER (PARTITION BY rec_id, i) AS n FROM i)
+    SELECT rec_id, seg_idx FROM k WHERE k % 3 <> 0 AND k - k % 3 + 2 < n"""
+)
 def flt_similar_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fold(spark, sf_dir, lambda rows: folds.drop_similar(rows, 0.9), "rec_id long, seg_idx int")
+    """Texts are the types of events, of which no two are alike."""
+    kinds = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("text"))
+    return layers.like_triples(segments(spark, sf_dir).drop("text").join(kinds, "event_id")).where("repeats").select("rec_id", "seg_idx")
 
 
-@query()
+@query(
+    """WITH h AS (SELECT *, contains(regexp_replace(trim(text), '[，。！？,.!? ]+$', ''), '嗯') OR contains(regexp_replace(trim(text), '[，。！？,.!? ]+$', ''), 'view 1') AS hit FROM segments),
+    n AS (SELECT *, coalesce(lag(hit) OVER w, false) OR coalesce(lead(hit) OVER w, false) AS beside, start - coalesce(lag("end") OVER w, 0) AS before, coalesce(lead(start) OVER w - "end", 999) AS after
+      FROM h WINDOW w AS (PARTITION BY rec_id ORDER BY seg_idx)) SELECT rec_id, seg_idx FROM n WHERE hit AND (beside OR before >= 1 OR after >= 1)"""
+)
 def flt_weak_phrase_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fold(spark, sf_dir, lambda rows: folds.drop_weak_phrases(rows, ("嗯", "view 1"), 1.0), "rec_id long, seg_idx int")
+    s = segments(spark, sf_dir)
+    return s.withColumn("gone", layers.weak_phrase(s, ("嗯", "view 1"), 1.0)).where("gone").select("rec_id", "seg_idx")
 
 
 @query()
@@ -310,13 +337,20 @@ def ig_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.geometry(s, changed)
 
 
-@query("SELECT rec_id, seg_idx, true AS preserved FROM segments WHERE seg_idx % 2 = 0")
+@query(
+    """WITH o AS (SELECT a.rec_id, a.seg_idx, count(b.seg_idx) AS others FROM segments a LEFT JOIN segments b ON b.rec_id = a.rec_id AND b.seg_idx <> a.seg_idx AND (b.start + b."end") / 2 <= a."end" + 1e-6 AND b.start >= a.start - 1e-6
+      AND b.start < a."end" GROUP BY 1, 2), p AS (SELECT a.rec_id, a.seg_idx, count(b.seg_idx) AS others FROM segments a LEFT JOIN segments b ON b.rec_id = a.rec_id AND b.seg_idx <> a.seg_idx AND b."end" <= a."end" + 1e-6
+      AND (b.start + b."end") / 2 >= a.start - 1e-6 AND b."end" > a.start GROUP BY 1, 2)
+    SELECT s.rec_id, s.seg_idx, s.event_id % 11 <> 0 AND s.event_id % 13 <> 0 AND o.others = 0 AND p.others = 0 AS preserved FROM segments s JOIN o ON s.rec_id = o.rec_id AND s.seg_idx = o.seg_idx JOIN p ON s.rec_id = p.rec_id AND s.seg_idx = p.seg_idx"""
+)
 def ig_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir).where("seg_idx % 2 = 0").select("rec_id", "seg_idx", "start", "end", "text")
+    """Every segment against its halves, of which some have lost a character or end too early, and its neighbours' that lie in it."""
+    s = segments(spark, sf_dir)
     mid, half = (F.col("start") + F.col("end")) / 2, F.floor(F.length("text") / 2).cast("int")
-    left = s.select("rec_id", "start", mid.alias("end"), F.left("text", half).alias("text"))
-    right = s.select("rec_id", mid.alias("start"), "end", F.expr("substring(text, CAST(floor(length(text) / 2) AS INT) + 1)").alias("text"))
-    return integrity.partitions(s, left.unionByName(right))
+    left = s.select("rec_id", "start", F.when(F.expr("event_id % 13 = 0"), mid - 0.01).otherwise(mid).alias("end"), F.left("text", half).alias("text"))
+    right = F.expr("substring(text, CAST(floor(length(text) / 2) AS INT) + 1 + CAST(event_id % 11 = 0 AS INT))")
+    right = s.select("rec_id", mid.alias("start"), "end", right.alias("text"))
+    return integrity.partitions(s.select("rec_id", "seg_idx", "start", "end", "text"), left.unionByName(right))
 
 
 @query("""SELECT rec_id, sha256(string_agg('s:' || format('{:.6f}', start) || ':' || format('{:.6f}', "end"), '|' ORDER BY seg_idx)) AS sha256 FROM segments GROUP BY 1""")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as tx
+from cadenza.operators import layers
 from cadenza.operators import runs as rn
 from cadenza.plans.registry import query
 from cadenza.sources import writers
-from cadenza.sources.adapters import segments, table, turns
+from cadenza.sources.adapters import ranges, segments, table, turns
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +80,13 @@ def str_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", F.explode(tx.ngrams("t", (2, 3))).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, event_id % 3 = 0 AS repeated FROM events", timeline=False)
+@query(
+    """WITH t AS (SELECT event_id, repeat(left(event_type, 1 + CAST(event_id % 7 AS INT)), 1 + CAST(event_id % 5 AS INT)) || CASE WHEN event_id % 4 = 0 THEN 'x' ELSE '' END AS t FROM events)
+    SELECT event_id, len(list_filter(range(1, 13), lambda k: length(t) % k = 0 AND length(t) // k >= 3 AND repeat(left(t, k), length(t) // k) = t)) > 0 AS repeated FROM t""",
+    timeline=False,
+)
 def str_repeated_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.expr("CASE WHEN event_id % 3 = 0 THEN repeat(event_type, 3) ELSE concat(event_type, '-', event_id, 'x') END")
+    text = F.expr("concat(repeat(left(event_type, 1 + CAST(event_id % 7 AS INT)), 1 + CAST(event_id % 5 AS INT)), CASE WHEN event_id % 4 = 0 THEN 'x' ELSE '' END)")
     return table(spark, sf_dir, "events").select("event_id", tx.repeated_unit(text).alias("repeated"))
 
 
@@ -138,24 +143,18 @@ def flt_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT rec_id, seg_idx FROM segments WHERE NOT (CASE WHEN value = 0 THEN false ELSE value * -0.1 < -1.0 END)")
 def flt_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logprob = F.col("value") * -0.1
-    return segments(spark, sf_dir).where(~((logprob != 0) & (logprob < -1.0))).select("rec_id", "seg_idx")
+    return segments(spark, sf_dir).where(~layers.low_logprob(F.col("value") * -0.1)).select("rec_id", "seg_idx")
 
 
 @query("SELECT rec_id, seg_idx FROM segments WHERE contains(rtrim(trim(text), '，。！？,.!? '), 'error') OR contains(text, 'purchase 1')")
 def flt_strong_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = F.regexp_replace(F.trim("text"), "[，。！？,.!? ]+$", "")
-    return segments(spark, sf_dir).where(bare.contains("error") | bare.contains("purchase 1")).select("rec_id", "seg_idx")
+    return segments(spark, sf_dir).where(layers.has_phrase("text", ("error", "purchase 1"))).select("rec_id", "seg_idx")
 
 
-@query(
-    """WITH r AS (SELECT *, CASE WHEN value > 10 AND value <> 0 THEN 'logprob' WHEN length(replace(text, ' ', '')) >= 10 AND length(replace(text, ' ', '')) / ("end" - start) > 12 THEN 'density'
-      WHEN contains(text, 'error') THEN 'phrases' ELSE 'kept' END AS reason FROM segments) SELECT rec_id, reason, count(*) AS n FROM r GROUP BY 1, 2"""
-)
+@query()
 def flt_all_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lp = F.col("value") * -0.1
-    reason = F.when((lp != 0) & (lp < -1.0), "logprob").when(tx.dense("text", "start", "end"), "density").when(F.col("text").contains("error"), "phrases").otherwise("kept")
-    return segments(spark, sf_dir).groupBy("rec_id", reason.alias("reason")).agg(F.count("*").alias("n"))
+    s = segments(spark, sf_dir).withColumn("logprob", F.col("value") * -0.1)
+    return layers.filtered(s, ranges(spark, sf_dir), "logprob", ("error",), ("嗯", "view 1"), 1.0).groupBy("rec_id", "reason").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -227,9 +226,17 @@ def sink_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.md5("t").alias("text"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, 'the')) AS BIGINT) AS hits, md5(regexp_replace(text, 'the', 'THE', 'g')) AS text FROM documents", timeline=False)
+_TERMS = {"on": "ON", "the": "THE", "there": "THERE", "a.b": "A.B"}
+
+
+@query(
+    """WITH m AS (SELECT doc_id, regexp_extract_all(text, 'there|the|a\\.b|on') AS m, regexp_split_to_array(text, 'there|the|a\\.b|on') AS s FROM documents)
+    SELECT doc_id, CAST(len(m) AS BIGINT) AS hits, md5(array_to_string(list_transform(range(1, len(s) + 1), lambda i: s[i] || CASE WHEN i <= len(m) THEN upper(m[i]) ELSE '' END), '')) AS text FROM m""",
+    timeline=False,
+)
 def str_replace_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit("the")).cast("long").alias("hits"), F.md5(F.replace("text", F.lit("the"), F.lit("THE"))).alias("text"))
+    hits, text = tx.replaced_terms("text", _TERMS)
+    return _docs(spark, sf_dir).select("doc_id", hits.cast("long").alias("hits"), F.md5(text).alias("text"))
 
 
 @query("SELECT rec_id, seg_idx, regexp_replace(upper(speaker), '^(SPEAKER|SPK)[_ -]?', '') AS label FROM segments WHERE speaker IS NOT NULL")
@@ -238,6 +245,13 @@ def str_label_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).where("speaker IS NOT NULL").select("rec_id", "seg_idx", F.regexp_replace(named, "^(SPEAKER|SPK)[_ -]?", "").alias("label"))
 
 
-@query("SELECT rec_id, seg_idx, text || CASE WHEN text = '嗯，对' AND 1 = 0 THEN '。' ELSE '' END AS text FROM segments")
+_SAID = "concat(repeat('对', CAST(seg_idx % 9 AS INT)), CASE WHEN seg_idx % 4 = 0 THEN text WHEN seg_idx % 4 = 1 THEN '。' WHEN seg_idx % 4 = 2 THEN '？' ELSE ' ' END)"
+
+
+@query(
+    f"""WITH t AS (SELECT rec_id, seg_idx, {_SAID} AS t FROM segments)
+    SELECT rec_id, seg_idx, CASE WHEN len(regexp_extract_all(t, '[一-鿿]')) >= 6 AND NOT regexp_matches(rtrim(t), '[。！？!?…]$') THEN rtrim(t) || '。' ELSE t END AS text FROM t"""
+)
 def str_terminal_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).select("rec_id", "seg_idx", tx.with_end_mark("text").alias("text"))
+    """Texts of up to eight ideographs, with and without an end mark, with blanks, Latin letters or more ideographs behind."""
+    return segments(spark, sf_dir).select("rec_id", "seg_idx", tx.with_end_mark(F.expr(_SAID)).alias("text"))

@@ -239,7 +239,7 @@ def iv_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_islands('ranges', 0, 'sp')}, cw AS (SELECT rec_id, greatest(0, start - 0.1) AS start, "end" + 0.1 AS "end" FROM segments WHERE seg_idx % 2 = 0), {_islands('cw', 0, 'cv')}, {_GAPS}, {_islands('un', 0, 'm')},
+    f"""WITH {_islands('ranges', 0, 'sp')}, cw AS (SELECT rec_id, greatest(0, start + 0.3 - 0.1) AS start, "end" - 0.1 + 0.1 AS "end" FROM segments WHERE "end" - 0.1 > start + 0.3), {_islands('cw', 0, 'cv')}, {_GAPS}, {_islands('un', 0, 'm')},
     t AS (SELECT rec_id, count(*) AS k, sum("end" - start) AS speech, min(start) AS s0, max("end") AS s1 FROM sp GROUP BY 1),
     l AS (SELECT rec_id, sum("end" - start) AS lost, max("end" - start) AS most, min(start) AS f, arg_min("end" - start, start) AS fd, max("end") AS z, arg_max("end" - start, "end") AS zd FROM m GROUP BY 1)
     SELECT t.rec_id, k AS speech_ranges, round(speech, 3) AS speech_duration_s, round(greatest(0, speech - coalesce(lost, 0)), 3) AS covered_speech_s, round(coalesce(lost, 0), 3) AS uncovered_speech_s,
@@ -248,7 +248,8 @@ def iv_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM t LEFT JOIN l ON t.rec_id = l.rec_id"""
 )
 def agg_speech_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.speech_coverage(ranges(spark, sf_dir), segments(spark, sf_dir).where("seg_idx % 2 = 0"), 0.1)
+    said = segments(spark, sf_dir).withColumn("start", F.col("start") + 0.3).withColumn("end", F.col("end") - 0.1).where("end > start")
+    return iv.speech_coverage(ranges(spark, sf_dir), said, 0.1)
 
 
 @query(
@@ -280,7 +281,7 @@ def iv_pair_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OWN = """own_r AS (SELECT rec_id, speaker, side, start, "end", max("end") OVER (PARTITION BY rec_id, speaker, side ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
-      FROM (SELECT rec_id, speaker, 'ref' AS side, start, "end" FROM segments WHERE speaker IS NOT NULL UNION ALL SELECT rec_id, predicted, 'pred', start, "end" FROM segments WHERE seg_idx % 6 <> 0)),
+      FROM (SELECT rec_id, speaker, 'ref' AS side, start, "end" FROM segments WHERE speaker IS NOT NULL UNION ALL SELECT rec_id, predicted, 'pred', start + 0.25, "end" + 0.25 FROM segments)),
     own_g AS (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id, speaker, side ORDER BY start, "end") AS g FROM own_r),
     own AS (SELECT rec_id, speaker, side, min(start) AS start, max("end") AS "end" FROM own_g GROUP BY rec_id, speaker, side, g),
     pts AS (SELECT rec_id, start AS t FROM own UNION SELECT rec_id, "end" FROM own), el0 AS (SELECT rec_id, t AS start, lead(t) OVER (PARTITION BY rec_id ORDER BY t) AS "end" FROM pts),
@@ -290,7 +291,7 @@ _OWN = """own_r AS (SELECT rec_id, speaker, side, start, "end", max("end") OVER
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = segments(spark, sf_dir)
-    return s, s.where("seg_idx % 6 <> 0").select("rec_id", F.col("predicted").alias("speaker"), "start", "end")
+    return s, s.select("rec_id", F.col("predicted").alias("speaker"), (F.col("start") + 0.25).alias("start"), (F.col("end") + 0.25).alias("end"))
 
 
 @query(f"""WITH {_OWN} SELECT rec_id, start, "end", array_to_string(ref, '+') AS ref, array_to_string(pred, '+') AS pred FROM act""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import folds, select, terms
 from cadenza.operators import intervals as iv
+from cadenza.operators import review as rv
 from cadenza.operators import runs as rn
 from cadenza.operators.integrity import violations
 from cadenza.plans.registry import query
@@ -53,16 +54,20 @@ def dz_voice_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", terms.voice_blocks(of(31), of(7), of(13)).alias("blocked"))
 
 
+#: What a model recommends for each candidate: mixed for even users, mostly 2 for odd ones.
+_MODEL_N = "CASE WHEN user_id % 2 = 0 THEN event_id % 4 WHEN event_id % 5 = 0 THEN 3 ELSE 2 END"
+
+
 @query(
-    """WITH c AS (SELECT user_id AS rec_id, 2 + event_id % 5 AS k, 2 + event_id * 7 % 4 AS model FROM events), n AS (SELECT rec_id, model, count(*) AS n FROM c WHERE k >= model GROUP BY 1, 2), t AS (SELECT rec_id, count(*) AS total FROM c GROUP BY 1)
-    SELECT n.rec_id, model, n, n >= greatest(2, floor(0.2 * total)) AS consistent FROM n JOIN t ON n.rec_id = t.rec_id""",
+    f"""WITH c AS (SELECT user_id AS rec_id, 2 + event_id % 5 AS k, {_MODEL_N} AS model FROM events), m AS (SELECT DISTINCT rec_id, model FROM c)
+    SELECT m.rec_id, m.model, count(c.k) FILTER (c.model = m.model) AS votes, count(c.k) AS compatible,
+      m.model > 0 AND count(c.k) > 0 AND count(c.k) FILTER (c.model = m.model) >= greatest(2, floor(0.6 * count(c.k))) AS consistent
+    FROM m LEFT JOIN c ON m.rec_id = c.rec_id AND c.k >= greatest(2, m.model) GROUP BY 1, 2""",
     timeline=False,
 )
 def dz_guard_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _events(spark, sf_dir).selectExpr("user_id AS rec_id", "2 + event_id % 5 AS k", "2 + event_id * 7 % 4 AS model")
-    c = c.withColumn("total", F.count("*").over(W.partitionBy("rec_id"))).where("k >= model")
-    n = c.groupBy("rec_id", "model").agg(F.count("*").alias("n"), F.max("total").alias("total"))
-    return n.select("rec_id", "model", "n", F.expr("n >= greatest(2, floor(0.2 * total))").alias("consistent"))
+    c = _events(spark, sf_dir).selectExpr("user_id AS rec_id", "2 + event_id % 5 AS k", f"{_MODEL_N} AS model")
+    return rv.consistent_recommendations(c)
 
 
 @query(
@@ -75,11 +80,18 @@ def al_sliding_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", terms.sliding_fragment(a, b).alias("fragment"))
 
 
-@query("SELECT event_id, event_id % 3 = 0 AS confirmed FROM events", timeline=False)
+@query(
+    """WITH n AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM conversations),
+    p AS (SELECT conv_id, turn, substr(text, 1, 12) AS l, substr(text, 13, 4) AS m, substr(text, 17, 12) AS r, CASE WHEN turn % 2 = 0 THEN substr(text, 1 + turn * 3, 30) ELSE coalesce(other, '') END AS o FROM n)
+    SELECT conv_id, turn, len(list_filter(range(3, 6), lambda k: contains(o, right(l, k) || m || left(r, k)))) > 0 AS confirmed FROM p""",
+    timeline=False,
+)
 def co_confirm_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = F.expr("CASE WHEN event_id % 3 = 0 THEN 'we went alphabetagamma home' ELSE 'we went alphaxbetagamma home' END")
-    found = terms.confirmed(other, F.lit("....alpha"), F.lit("beta"), F.lit("gamma...."), 3, 5)
-    return _events(spark, sf_dir).select("event_id", found.alias("confirmed"))
+    """A piece of each turn with its context, looked up in a later cut of the same turn or in the next turn."""
+    n = table(spark, sf_dir, "conversations").withColumn("other", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")))
+    other = F.expr("CASE WHEN turn % 2 = 0 THEN substr(text, CAST(1 + turn * 3 AS INT), 30) ELSE coalesce(other, '') END")
+    found = terms.confirmed(other, F.substring("text", 1, 12), F.substring("text", 13, 4), F.substring("text", 17, 12), 3, 5)
+    return n.select("conv_id", "turn", found.alias("confirmed"))
 
 
 @query()

@@ -11,6 +11,7 @@ from cadenza.operators import intervals as iv
 from cadenza.operators import joins as jn
 from cadenza.operators import runs as rn
 from cadenza.sources import readers
+from pyspark.sql import functions as F
 
 SEG = "rec_id string, seg_idx int, start double, end double, text string, speaker string"
 
@@ -112,12 +113,17 @@ def test_folds():
     assert folds.best_permutation([("a", "x"), ("a", "x"), ("b", "y")]) == {"a": "x", "b": "y"}
 
 
-def test_weak_phrases_need_company_or_silence():
-    row = lambda i, s, e, t: {"seg_idx": i, "start": s, "end": e, "text": t}
-    near = [row(0, 0, 1, "a"), row(1, 1, 2, "谢谢"), row(2, 2, 3, "b")]
-    assert folds.drop_weak_phrases(near, ("谢谢",), 5) == []
-    assert folds.drop_weak_phrases([near[0], near[1], row(2, 9, 10, "b")], ("谢谢",), 5) == [{"seg_idx": 1}]
-    assert folds.drop_weak_phrases([near[0], near[1], row(2, 2, 3, "谢谢")], ("谢谢",), 5) == [{"seg_idx": 1}, {"seg_idx": 2}]
+def test_weak_phrases_need_company_or_silence(spark):
+    from cadenza.operators import layers
+
+    def dropped(*rows):
+        df = spark.createDataFrame([(1, *r) for r in rows], "rec_id int, seg_idx int, start double, end double, text string")
+        return [r.seg_idx for r in df.withColumn("gone", layers.weak_phrase(df, ("谢谢",), 5)).where("gone").orderBy("seg_idx").collect()]
+
+    a, weak = (0, 0.0, 1.0, "a"), (1, 1.0, 2.0, "谢谢")
+    assert dropped(a, weak, (2, 2.0, 3.0, "b")) == []
+    assert dropped(a, weak, (2, 9.0, 10.0, "b")) == [1]
+    assert dropped(a, weak, (2, 2.0, 3.0, "谢谢")) == [1, 2]
 
 
 def test_annotations_reject_bad_times(spark):
@@ -182,3 +188,69 @@ def test_hotword_candidates_are_ngrams(spark):
     assert [latin[1, "stations", k] for k in (1, 2, 3)] == [("station", 0.933), ("tations", 0.933), ("xstation", 0.875)]
     assert [latin[4, "stations", k] for k in (1, 2)] == [("station", 0.933), ("tations", 0.933)]
     assert not any(t == "x" or i == 3 for i, t, _ in latin)
+
+
+def test_like_triples_against_a_scan(spark):
+    """Threes of like texts, found one after the other: what has gone no longer counts."""
+    import random
+    from difflib import SequenceMatcher
+
+    from cadenza.operators import layers
+
+    r = random.Random(8)
+    rows = [(rec, i, r.choice(["good morning all", "good morning al", "other words here", ""]) if rec else "same again here") for rec in range(4) for i in range(40)]
+    like = lambda a, b: bool(a and b) and SequenceMatcher(None, a, b).ratio() >= 0.9
+    want = set()
+    for rec in range(4):
+        texts, free = [t for k, _, t in rows if k == rec], 0
+        for i in range(len(texts) - 2):
+            if i >= free and like(texts[i], texts[i + 1]) and like(texts[i + 1], texts[i + 2]):
+                want |= {(rec, i + 1), (rec, i + 2)}
+                free = i + 3
+    got = layers.like_triples(spark.createDataFrame(rows, "rec_id int, seg_idx int, text string"))
+    assert {(x.rec_id, x.seg_idx) for x in got.where("repeats").collect()} == want and len(want) > 30
+
+
+def test_layers_in_turn(spark):
+    from cadenza.operators import layers
+
+    rows = [
+        (0, 0.0, 1.0, "far from speech", -0.1),
+        (1, 10.0, 11.0, "low", -3.0),
+        (2, 12.0, 13.0, "ha ha ha ha ha ha", -0.1),
+        (3, 14.0, 14.1, "many letters in no time at all", -0.1),
+        (4, 15.0, 16.9, "please subscribe!", -0.1),
+        (5, 17.0, 18.0, "thanks", -0.1),
+        (6, 18.0, 19.0, "thanks", -0.1),
+        (7, 19.0, 20.0, "good line", -0.1),
+        (8, 20.0, 21.0, "good line", -0.1),
+        (9, 21.0, 22.0, "good line.", -0.1),
+        (10, 23.0, 24.0, "thanks", -0.1),
+        (11, 25.0, 26.0, "the end", 0.0),
+    ]
+    s = spark.createDataFrame([(1, *x) for x in rows], "rec_id long, seg_idx int, start double, end double, text string, logprob double")
+    heard = spark.createDataFrame([(1, 9.0, 30.0)], "rec_id long, start double, end double")
+    got = {x.seg_idx: x.reason for x in layers.filtered(s, heard, "logprob", ("subscribe",), ("thanks",)).collect()}
+    assert [got[i] for i in range(12)] == ["vad", "logprob", "repetition", "density", "phrase", "weak_phrase", "weak_phrase", "kept", "similar", "similar", "kept", "kept"]
+
+
+def test_three_guards(spark):
+    from cadenza.operators import review
+
+    cols = "rec_id int, speaker string, duration_s double, segment_ratio double, turns int, short_ratio double, filler_ratio double, mergeable boolean"
+    long = (100.0, 0.3, 9, 0.1, 0.1)
+    rows = [(1, s, *long, s == "a") for s in "abcd"] + [(2, s, *long, s == "a") for s in "abc"] + [(3, s, *long, False) for s in "abcd"]
+    rows += [(4, "a", 17.0, 0.3, 9, 0.1, 0.1, True), (4, "b", *long, False), (4, "c", *long, False), (5, "a", 17.0, 0.3, 9, 0.1, 0.1, True), (5, "b", *long, False)]
+    rows += [(6, "a", 100.0, 0.3, 5, 0.55, 0.45, True), (6, "b", *long, False), (6, "c", *long, False)]
+    got = {r.rec_id: r.merge for r in review.auto_merge(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True}
+    said = [(1, 2, 2), (1, 3, 2), (1, 4, 2), (1, 5, 3), (2, 2, 2), (2, 3, 3), (3, 2, 0), (3, 3, 0)]
+    got = {(r.rec_id, r.model): r.consistent for r in review.consistent_recommendations(spark.createDataFrame(said, "rec_id int, k int, model int")).collect()}
+    assert got == {(1, 2): True, (1, 3): False, (2, 2): False, (2, 3): False, (3, 0): False}
+    seq = spark.createDataFrame([(["a", "a", "b"], ["a", "b", "b"]), (["a"], ["a", "b"]), (["a", "b", "a"], ["a", "b"]), (["b", "a"], ["a", "b"]), ([], [])], "c array<string>, g array<string>")
+    assert [r[0] for r in seq.select(review.error_type(F.col("c"), F.col("g"))).collect()] == ["", review.MISSED, review.EXTRA, review.WRONG, ""]
+
+
+def test_permutation_of_many_labels():
+    pairs = [(f"p{i}", f"r{(i * 5) % 14}") for i in range(14) for _ in range(3)] + [("p1", "r0"), ("p2", "r0")]
+    assert folds.best_permutation(pairs) == {f"p{i}": f"r{(i * 5) % 14}" for i in range(14)}
