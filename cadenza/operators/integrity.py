@@ -60,3 +60,13 @@ def timeline_hash(segments: DataFrame) -> DataFrame:
 
 def complete_labels(segments: DataFrame) -> DataFrame:
     return segments.groupBy("rec_id").agg(F.bool_and(F.expr("speaker IS NOT NULL AND speaker <> ''")).alias("complete"))
+
+
+def exported_lines(exports: DataFrame, segments: DataFrame) -> DataFrame:
+    """(rec_id, seg_idx, same): each segment with text against the line in its place of the exported text (rec_id, content)."""
+    lines = exports.select("rec_id", F.posexplode(F.filter(F.split("content", "\n"), lambda x: x != "")).alias("place", "line"))
+    w = W.partitionBy("rec_id").orderBy("seg_idx")
+    rows = segments.where("trim(text) <> ''").withColumn("place", F.row_number().over(w) - 1)
+    said = F.regexp_extract("line", r"^\[[0-9:.]+ - [0-9:.]+\] (.*)$", 1)
+    both = rows.join(lines, ["rec_id", "place"], "left")
+    return both.select("rec_id", "seg_idx", F.coalesce(said == F.trim("text"), F.lit(False)).alias("same"))

@@ -11,11 +11,11 @@ from cadenza.plans.registry import query
 from cadenza.sources.adapters import ranges, segments, table
 
 #: Turns of another labelling: every segment, a little later.
-_TURNS = 'tn AS (SELECT rec_id, start + 1.25 AS start, "end" + 1.25 AS "end", predicted AS speaker FROM segments)'
+_TURNS = 'tn AS (SELECT rec_id, start + 1.27 AS start, "end" + 1.27 AS "end", predicted AS speaker FROM segments)'
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).select("rec_id", (F.col("start") + 1.25).alias("start"), (F.col("end") + 1.25).alias("end"), F.col("predicted").alias("speaker"))
+    return segments(spark, sf_dir).select("rec_id", (F.col("start") + 1.27).alias("start"), (F.col("end") + 1.27).alias("end"), F.col("predicted").alias("speaker"))
 
 
 @query(

@@ -70,6 +70,34 @@ def markdown_table(lines: DataFrame, value: str = "value") -> DataFrame:
     return t.select(F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)).alias("cells"))
 
 
+def gold_rows(df: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """(key, row_key, place, row) of gold templates: a JSON list, or a list under items, rows or segments; another shape raises.
+
+    A row is a map of strings. CSV templates are read with Spark's reader, with header.
+    """
+    row = "array<map<string,string>>"
+    whole = F.regexp_replace(value, "^\\x{feff}", "")
+    listed = F.trim(whole).startswith("[")
+    doc = F.from_json(F.when(~listed, whole), f"items {row}, rows {row}, segments {row}")
+    rows = df.select(key, F.from_json(F.when(listed, whole), row).alias("_l"), doc.alias("_d"))
+    names = ("items", "rows", "segments")
+    named = F.when(F.col("_l").isNotNull(), "list")
+    for n in names:
+        named = named.when(F.col(f"_d.{n}").isNotNull(), n)
+    found = F.coalesce("_l", *(F.col(f"_d.{n}") for n in names), F.raise_error(F.lit("not a gold template")).cast(row))
+    return rows.select(key, named.alias("row_key"), F.posexplode(found).alias("place", "row")).where("row IS NOT NULL")
+
+
+#: Endings of audio files.
+AUDIO = "wav|mp3|m4a|flac|aac|ogg|opus|mp4|mov"
+
+
+def audio_references(df: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """(key, audio): all strings of JSON texts, at any depth, that name an audio file."""
+    found = F.regexp_extract_all(F.col(value), F.lit(rf'(?i)"((?:[^"\\\\]|\\\\.)*\.(?:{AUDIO}))"\s*(?=[,\]}}]|$)'), F.lit(1))
+    return df.select(key, F.explode(found).alias("audio"))
+
+
 def library(spark: SparkSession, path: str) -> DataFrame:
     """Metadata of all tasks below a folder, newest first; corrupt files are skipped."""
     df = spark.read.option("recursiveFileLookup", True).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)

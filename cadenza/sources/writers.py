@@ -41,6 +41,25 @@ def markdown(segments: DataFrame) -> DataFrame:
     return joined(rows, "line", "\n").drop("rows")
 
 
+def named(segments: DataFrame) -> DataFrame:
+    """Segments whose text begins with the speaker in brackets; blank texts stay blank."""
+    said = F.when(F.trim("text") == "", "").otherwise(F.concat(F.concat(F.lit("["), "speaker", F.lit("] ")), F.trim("text")))
+    return segments.withColumn("text", F.when(F.col("speaker").isNull() | (F.col("speaker") == ""), F.col("text")).otherwise(said))
+
+
+def document(segments: DataFrame, *fields: str) -> DataFrame:
+    """One JSON document per recording; fields without a value are left out."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col("seg_idx").alias("_at"), F.struct(*fields).alias("s")))), lambda x: x["s"])
+    return segments.groupBy("rec_id").agg(F.to_json(F.struct(rows.alias("segments"))).alias("content"))
+
+
+def tsv(segments: DataFrame, *fields: str) -> DataFrame:
+    """A heading and tab-separated rows; tabs and line ends within values become blanks."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\r\n]", " ")
+    rows = joined(segments, F.concat_ws("\t", *(cell(f) for f in fields)), "\n")
+    return rows.select("rec_id", F.concat(F.lit("\t".join(fields) + "\n"), "content").alias("content"))
+
+
 def save(df: DataFrame, path: str, kind: str = "json") -> None:
     """Write with Spark's committer: all files of a job appear or none."""
     out = df.write.mode("overwrite")

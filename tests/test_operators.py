@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
+
 from cadenza.functions.alignments import edit_ops, local_alignment
 from cadenza.operators import folds, integrity, select
 from cadenza.operators import intervals as iv
@@ -254,3 +256,68 @@ def test_three_guards(spark):
 def test_permutation_of_many_labels():
     pairs = [(f"p{i}", f"r{(i * 5) % 14}") for i in range(14) for _ in range(3)] + [("p1", "r0"), ("p2", "r0")]
     assert folds.best_permutation(pairs) == {f"p{i}": f"r{(i * 5) % 14}" for i in range(14)}
+
+
+def test_soft_commas_against_re(spark):
+    import re
+
+    from cadenza.operators import rules
+
+    r = random.Random(6)
+    parts = ["我们今天一起来看", "但是", "的就是", "就是", "，然后", "大家", " 因为", "对吧", "abc", "这段话很长很长很长"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(120)]
+
+    def plain(t: str) -> str:
+        if len(re.findall("[\u3400-\u4dbf\u4e00-\u9fff]", t)) < 28 or len(re.findall("[，。！？；：、,.!?;:]", t)) >= max(2, len(t) // 28):
+            return t
+        for w in rules.PAUSE_WORDS:
+            out, at = "", 0
+            for i in (m.start() for m in re.finditer(w, t)):
+                if i >= 8 and not re.match(r"[，。！？；：、,.!?;:\s]", t[i - 1]) and not (w == "就是" and t[i - 1] == "的"):
+                    out, at = out + t[at:i] + "，", i
+            t = out + t[at:]
+        return t
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", rules.soft_commas("text").alias("t")).collect()
+    assert {x.i: x.t for x in got} == {i: plain(t) for i, t in enumerate(texts)}
+    assert sum(plain(t) != t for t in texts) > 10
+
+
+def test_reasons_and_windows(spark):
+    from cadenza.operators import rules
+
+    one = spark.range(1)
+    assert one.select(rules.merged_reasons(F.array(F.lit(" a"), F.lit(None), F.lit("ab"), F.lit("b"), F.lit("c")))).first()[0] == "a；ab；c"
+    assert one.select(rules.strong_reasons(F.lit("推荐置信度不足：声线复核；x；声线复核； 强新发言开场"))).first()[0] == "声线复核；强新发言开场"
+    d = spark.createDataFrame([(1, 0.0), (2, 40.0), (3, 61.0), (4, 1000.0)], "rec_id int, duration double")
+    got = sorted((r.rec_id, r.start, r.seconds) for r in rules.preflight_windows(d, 60.0, 3).collect())
+    assert got == [(1, 0.0, 60.0), (2, 0.0, 40.0), (3, 0.0, 60.0), (3, 1.0, 60.0), (4, 90.0, 60.0), (4, 470.0, 60.0), (4, 790.0, 60.0)]
+    text = "[00:01] 他的工。\n[00:02] 作\nplain\n[00:03] 人"
+    assert one.select(rules.joined_lines(F.lit(text))).first()[0] == "[00:01] 他的工作\nplain\n[00:03] 人"
+
+
+def test_gold_templates(spark):
+    df = spark.createDataFrame([(1, '[{"id": "1"}]'), (2, '\ufeff{"rows": [{"id": "2"}, {"id": "3"}], "source_json": "x"}'), (3, '{"x": 1}')], "k int, value string")
+    got = readers.gold_rows(df.where("k < 3"), "k").collect()
+    assert sorted((r.k, r.row_key, r.place, r["row"]["id"]) for r in got) == [(1, "list", 0, "1"), (2, "rows", 0, "2"), (2, "rows", 1, "3")]
+    with pytest.raises(Exception, match="not a gold template"):
+        readers.gold_rows(df, "k").collect()
+
+
+def test_guard_fallbacks(spark):
+    """Each guard's one condition at its bound."""
+    from cadenza.operators import guards
+
+    cols = "rec_id int, k int, formed int, stable int, weak int, tiny int, fragmented int, marginal int, severe int, score double, model_n int, confidence double, selected_score double, recommended_score double"
+    clean = (0, 0, 0, 0)
+    rows = [
+        (1, 2, 2, 2, *clean, 0, 5.0, 3, 0.4, 0.45, 1.0), (1, 3, 3, 3, *clean, 2, 4.0, 3, 0.4, 0.5, 1.0), (1, 4, 4, 4, *clean, 0, 1.0, 3, 0.4, 0.48, 1.0),
+        (2, 2, 2, 2, *clean, 0, 5.0, 3, 0.7, 0.44, 1.0), (2, 3, 3, 3, *clean, 2, 4.0, 3, 0.7, None, 1.0), (2, 4, 4, 3, *clean, 0, 1.0, 3, 0.7, 0.5, None),
+    ]
+    c = spark.createDataFrame(rows, cols)
+    assert [(r.rec_id, r.k, r.fallback) for r in guards.medium_fallback(c).collect()] == [(1, 3, 2)]
+    said = {(r.rec_id, r.k, r.higher): r.penalised for r in guards.model_penalties(c).collect()}
+    assert said == {(1, 2, 3): False, (1, 2, 4): False, (1, 3, 4): False, (2, 2, 3): False, (2, 2, 4): False, (2, 3, 4): False}
+    up = spark.createDataFrame([(1, 2, 2, 2, *clean, 1, 5.0, 4, 0.4, None, None), (1, 3, 3, 3, *clean, 0, 4.0, 4, 0.4, None, None), (1, 5, 3, 3, *clean, 0, 4.0, 4, 0.4, None, None)], cols)
+    assert [(r.k, r.refined) for r in guards.under_count(up).collect()] == [(2, 3)]
+    assert [(r.k, r.refined) for r in guards.conflict(up, "o.stable = o.formed").collect()] == [(2, 3)]
