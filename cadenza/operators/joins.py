@@ -16,10 +16,14 @@ HOLD, EPSILON = 0.18, 0.03
 
 
 def nearest_speaker(cues: DataFrame, turns: DataFrame) -> DataFrame:
-    """(rec_id, seg_idx, near): speaker of the turn nearest to each cue's midpoint among those that end before or start after it."""
+    """(rec_id, seg_idx, near): speaker of the turn nearest to each cue's midpoint among those that end before or start after it.
+
+    Of equally near turns the one that starts first, then ends first, then the least name.
+    """
     mid = cues.select("rec_id", "seg_idx", ((F.col("start") + F.col("end")) / 2).alias("t"), F.lit(1).alias("cue"))
-    ends = turns.select("rec_id", F.col("end").alias("t"), F.struct(F.col("end").alias("x"), "speaker").alias("left"))
-    starts = turns.select("rec_id", F.col("start").alias("t"), F.struct(F.col("start").alias("x"), "speaker").alias("right"))
+    ends = turns.groupBy("rec_id", F.col("end").alias("t")).agg(F.min(F.struct("start", "speaker")).alias("first"))
+    ends = ends.select("rec_id", "t", F.struct(F.col("t").alias("x"), F.col("first.speaker").alias("speaker")).alias("left"))
+    starts = turns.select("rec_id", F.col("start").alias("t"), F.struct(F.col("start").alias("x"), "end", "speaker").alias("right"))
     rows = mid.unionByName(ends, allowMissingColumns=True).unionByName(starts, allowMissingColumns=True)
     w = W.partitionBy("rec_id").orderBy("t")
     before = F.max("left").over(w.rangeBetween(W.unboundedPreceding, W.currentRow))

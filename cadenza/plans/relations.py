@@ -23,8 +23,8 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
       JOIN tn t ON c.rec_id = t.rec_id AND t.start < c."end" AND t."end" > c.start GROUP BY ALL),
     b AS (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_idx ORDER BY o DESC, s DESC) AS r FROM o),
     l AS (SELECT c.rec_id, c.seg_idx, (c.start + c."end") / 2 AS m FROM segments c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.rec_id = c.rec_id AND o.seg_idx = c.seg_idx)),
-    d AS (SELECT l.rec_id, l.seg_idx, t.speaker, t.start, least(abs(m - t.start), abs(m - t."end")) AS d, t."end" <= m AS before FROM l JOIN tn t ON l.rec_id = t.rec_id),
-    n AS (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_idx ORDER BY round(d, 9), before DESC, start DESC) AS r FROM d)
+    d AS (SELECT l.rec_id, l.seg_idx, t.speaker, t.start, t."end", least(abs(m - t.start), abs(m - t."end")) AS d FROM l JOIN tn t ON l.rec_id = t.rec_id),
+    n AS (SELECT *, row_number() OVER (PARTITION BY rec_id, seg_idx ORDER BY round(d, 9), start, "end", speaker) AS r FROM d)
     SELECT rec_id, seg_idx, s AS speaker, o AS seconds FROM b WHERE r = 1 UNION ALL SELECT rec_id, seg_idx, speaker, 0 FROM n WHERE r = 1"""
 )
 def join_overlap_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
