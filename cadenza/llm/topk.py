@@ -3,8 +3,12 @@
 Rows become blocks in the order they are stored: a block holds its rows' forward index
 (an integer matrix, rows by id) and for each term (component) the least and greatest
 value. A query's bound for a block is the sum over terms of the greatest product. Blocks
-are scored in order of falling bounds until the bound is below the k-th best score. Blocks
-meet queries in groups of blocks and chunks of queries, both of bounded size.
+are scored in order of falling bounds until the bound is below the k-th best score.
+
+Blocks lie in groups, which have bounds of the same kind. First every query is bounded on every group
+and scores the group of its greatest bound; the k-th score there is its threshold. Then it goes,
+with its vector, only to groups whose bounds reach the threshold, and within them only blocks that
+do are scored. Groups meet queries in chunks of bounded size, both where they are bounded and scored.
 
 Edge cases: vectors that are null or hold null or non-finite components, and rows without
 an id, take no part; shorter vectors are filled with zeros; a repeated query id is searched once,
@@ -25,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import stored
+from cadenza.llm.common import Scratch, lean
 
 BLOCK_ROWS = 512  #: rows of a block
 GROUP_BLOCKS = 32  #: blocks that a task scores against a chunk of queries
 CHUNK_QUERIES = 4096  #: queries of a chunk
+CHUNK_GROUPS = 4096  #: groups that a task bounds for a chunk of queries
 SCALE = 1024
 #: Sums of products below this are exact in doubles.
 EXACT = float(2**53)
@@ -109,15 +114,18 @@ def widened(m: np.ndarray, width: int) -> np.ndarray:
     return m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query ids, ids, scores) of each query's k best within the blocks, and how many blocks were scored per query in all."""
+def search(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query ids, ids, scores) of each query's k best within the blocks, and how many blocks were scored per query in all.
+
+    Scores below ``least``, a threshold of each query, aren't looked for.
+    """
     width = max([q.shape[1], *(m.shape[1] for _, m in blocks)])
     q, blocks = widened(q, width), [(i, widened(m, width)) for i, m in blocks]
     top, low = np.array([m.max(0) for _, m in blocks]), np.array([m.min(0) for _, m in blocks])
     bounds = bounds_of(q, top, low)
     order = np.argsort(-bounds, axis=1, kind="stable")
     n = len(q_ids)
-    kth = np.full(n, np.iinfo(np.int64).min)
+    kth = np.full(n, INT.min) if least is None else least.copy()
     best = (np.empty(0, np.int64),) * 3  # query number, id, score
     visited = 0
     for r in range(len(blocks)):
@@ -144,27 +152,75 @@ def search(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray, np.n
     return q_ids[best[0]], best[1], best[2], visited
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query its k best rows of another id, ties to smaller ids."""
-    blocks = stored(quantised(vectors, id_col, vec_col).mapInArrow(_blocks, "grp long, ids binary, m binary, width int"), "topk-blocks")
-    q = quantised(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
-    q = stored(q, "topk-queries")
-    chunks = max(1, -(-q.count() // CHUNK_QUERIES))
-    groups = blocks.select("grp").distinct()
-    # Every group of blocks meets every chunk of queries; only chunks and groups are multiplied.
-    chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")
-    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
-    pairs = groups.select("grp", every)
-    asked = q.select("id", "v", chunk).join(pairs, "chunk")
-    left = blocks.select(F.col("grp").alias("g"), "ids", "m", "width", every).withColumnRenamed("chunk", "c")
-
+def _extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, top, low) of each block: greatest and least values by term."""
+    for b in batches:
+        rows = []
+        for g, ids, m, width in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            m = np.frombuffer(m, np.int64).reshape(len(ids) // 8, width)
+            rows.append((g, m.max(0).tolist(), m.min(0).tolist()))
+        yield pa.RecordBatch.from_pydict({"grp": [r[0] for r in rows], "top": [r[1] for r in rows], "low": [r[2] for r in rows]}, pa.schema([("grp", pa.int64()), ("top", pa.list_(pa.int64())), ("low", pa.list_(pa.int64()))]))
+
+
+def _bounds(groups: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """(query_id, grp, bound) of every query and group of two chunks."""
+    if not len(groups) or not len(queries):
+        return pd.DataFrame({"query_id": [], "grp": [], "bound": []}).astype("int64")
+    top, low, q = (matrix(list(x)) for x in (groups["top"], groups["low"], queries["v"]))
+    width = max(top.shape[1], q.shape[1])
+    top, low, q = (widened(x, width) for x in (top, low, q))
+    bound = bounds_of(q, top, low)
+    ids, grp = np.meshgrid(queries["id"].to_numpy(np.int64), groups["grp"].to_numpy(np.int64), indexing="ij")
+    return pd.DataFrame({"query_id": ids.ravel(), "grp": grp.ravel(), "bound": bound.ravel()})
+
+
+def _scored(k: int):
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         held = [(i := np.frombuffer(r.ids, np.int64), np.frombuffer(r.m, np.int64).reshape(len(i), r.width)) for r in a.itertuples()]
-        x, y, s, _ = search(b["id"].to_numpy(np.int64), matrix(list(b["v"])), held, k)
+        x, y, s, _ = search(b["id"].to_numpy(np.int64), matrix(list(b["v"])), held, k, b["kth"].to_numpy(np.int64))
         return pd.DataFrame({"query_id": x, "vec_id": y, "score": s})
 
-    some = left.groupBy("g", "c").cogroup(asked.groupBy("grp", "chunk")).applyInPandas(score, "query_id long, vec_id long, score long")
+    return score
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query its k best rows of another id, ties to smaller ids."""
+    scratch = Scratch(vectors.sparkSession)
+    blocks = scratch.stored(quantised(vectors, id_col, vec_col).mapInArrow(lean(_blocks), "grp long, ids binary, m binary, width int"), "topk-blocks")
+    q = quantised(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
+    q = scratch.stored(q, "topk-queries")
+
+    # Extremes of groups: terms that a shorter block lacks are zero there.
+    each = blocks.mapInArrow(_extremes, "grp long, top array<long>, low array<long>")
+    longer = lambda a, b, f: F.zip_with(a, b, lambda x, y: f(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))
+    lists = each.groupBy("grp").agg(F.collect_list("top").alias("t"), F.collect_list("low").alias("l"))  # GROUP_BLOCKS at most
+    fold = lambda c, f: F.aggregate(F.slice(c, 2, GROUP_BLOCKS), F.element_at(c, 1), lambda a, b: longer(a, b, f))
+    groups = scratch.stored(lists.select("grp", fold("t", F.greatest).alias("top"), fold("l", F.least).alias("low")), "topk-groups")
+
+    chunks, parts = max(1, -(-q.count() // CHUNK_QUERIES)), max(1, -(-groups.count() // CHUNK_GROUPS))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = groups.withColumn("p", of("grp", parts)).withColumn("c", every(chunks))
+    right = q.withColumn("chunk", of("id", chunks)).withColumn("part", every(parts))
+    bounds = left.groupBy("p", "c").cogroup(right.groupBy("part", "chunk")).applyInPandas(_bounds, "query_id long, grp long, bound long")
+    bounds = scratch.stored(bounds, "topk-bounds")  # ids and numbers, no vectors
+
+    def scored(wanted: DataFrame) -> DataFrame:
+        """Results of (query_id, grp, kth): each query in the groups that are wanted."""
+        asked = wanted.join(q, F.col("query_id") == F.col("id")).select("id", "v", "kth", F.col("grp").alias("g"), of("id", chunks).alias("chunk"))
+        held = asked.select(F.col("g").alias("w"), "chunk").distinct()
+        here = blocks.join(held, F.col("grp") == F.col("w")).select("grp", F.col("chunk").alias("c"), "ids", "m", "width")
+        return here.groupBy("grp", "c").cogroup(asked.groupBy("g", "chunk")).applyInPandas(_scored(k), "query_id long, vec_id long, score long")
+
+    low = F.lit(int(INT.min)).cast("long")
+    seed = bounds.groupBy("query_id").agg(F.max(F.struct("bound", "grp")).alias("b")).select("query_id", F.col("b.grp").alias("grp"), low.alias("kth"))
+    first = scratch.stored(scored(seed), "topk-first")
+    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("s"))
+    kth = seed.select("query_id", F.col("grp").alias("seed")).join(kth, "query_id", "left").select("query_id", "seed", F.coalesce("s", low).alias("kth"))
+    rest = bounds.join(kth, "query_id").where("grp <> seed AND bound >= kth").select("query_id", "grp", "kth")
+    some = scratch.stored(first.unionByName(scored(rest)), "topk-scored")
+    scratch.drop_but(some)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return some.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

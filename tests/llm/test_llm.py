@@ -397,6 +397,25 @@ def test_toxicity_recomputed_by_hand(spark, monkeypatch):
         assert np.allclose(net.logits(a, b, starts), z, atol=1e-4)
 
 
+def test_top_k_prunes_across_groups(spark, monkeypatch):
+    """Small blocks, groups and chunks over uneven vectors: the same rows as brute force, with shorter vectors and ties."""
+    for name, n in (("BLOCK_ROWS", 4), ("GROUP_BLOCKS", 2), ("CHUNK_QUERIES", 3), ("CHUNK_GROUPS", 5)):
+        monkeypatch.setattr(topk, name, n)
+    r = random.Random(12)
+    rows = []
+    for i in range(400):
+        big = 1 + (i // 40) * 3
+        rows.append((i, [r.randint(-4, 4) * big / 8 for _ in range(r.choice([6, 6, 6, 4]))]))
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2)
+    ints = {i: [math.floor(x * 1024) for x in e] for i, e in rows}
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(v.where("vec_id % 20 = 0"), v, 7).collect()}
+    want = {}
+    for i in range(0, 400, 20):
+        best = sorted((-sum(x * y for x, y in zip(ints[i], ints[j])), j) for j in ints if j != i)[:7]
+        want |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(best)}
+    assert got == want
+
+
 def test_top_k_of_huge_components(spark):
     rows = [(0, [1e300, 1.0]), (1, [1e300, -1.0]), (2, [-1e300, 0.0]), (3, [1.0, 1.0]), (100, [1e15, 1e15])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
