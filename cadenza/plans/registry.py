@@ -22,7 +22,8 @@ def query(sql: str | None = None, *, timeline: bool = True) -> Callable[[Query],
         if sql is not None:
             text = sql.strip()
             if timeline:
-                text = f"WITH {SEGMENTS_SQL}" + (f", {text[5:]}" if text.startswith("WITH ") else f" {text}")
+                again = "RECURSIVE " if text.startswith("WITH RECURSIVE ") else ""
+                text = f"WITH {again}{SEGMENTS_SQL}" + (f", {text[5 + len(again) :]}" if text.startswith("WITH ") else f" {text}")
             ORACLES[f.__name__] = text
         return f
 

@@ -10,7 +10,7 @@ from cadenza.functions import udfs
 from cadenza.operators import folds, integrity, layers, select
 from cadenza.operators import intervals as iv
 from cadenza.plans.registry import query
-from cadenza.plans.timeline import _sides
+from cadenza.plans.timeline import _OWN, _sides
 from cadenza.sources import readers
 from cadenza.sources.adapters import segments, table, turns
 
@@ -186,74 +186,108 @@ def agg_gold_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.sum(udfs.token_distance("a", "b")).alias("edits"), F.sum(F.size("a")).alias("tokens"))
 
 
-def _errors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Seconds of each kind by recording, each reference speaker's Jaccard error, and the numbers of speakers."""
-    # The few pairs of sets of a recording stand for all their stretches; Spark reuses their exchange for what reads them.
-    active = iv.active_sets(*_sides(spark, sf_dir))
-    active = active.groupBy("rec_id", "ref", "pred").agg(F.sum(F.col("end") - F.col("start")).alias("end")).withColumn("start", F.lit(0.0))
-    parts, pairs = iv.error_parts(active), iv.pair_seconds(active)
-    own = active.select("rec_id", (F.col("end") - F.col("start")).alias("d"), "ref", "pred")
-    refs = own.select("rec_id", F.explode("ref").alias("ref"), "d").groupBy("rec_id", "ref").agg(F.sum("d").alias("ref_s"))
-    preds = own.select("rec_id", F.explode("pred").alias("pred"), "d").groupBy("rec_id", "pred").agg(F.sum("d").alias("pred_s"))
+_ASSIGN = f"""{_OWN}, ps AS MATERIALIZED (SELECT rec_id, p AS pred, r AS ref, round(sum("end" - start), 6) AS sec FROM (SELECT rec_id, start, "end", ref, unnest(pred) AS p FROM act) x, unnest(ref) t(r) GROUP BY 1, 2, 3),
+    pn AS MATERIALIZED (SELECT rec_id, pred, row_number() OVER (PARTITION BY rec_id ORDER BY pred) AS i FROM (SELECT DISTINCT rec_id, pred FROM ps)),
+    op AS MATERIALIZED (SELECT pn.rec_id, pn.i, pn.pred, ps.ref, ps.sec FROM pn JOIN ps ON pn.rec_id = ps.rec_id AND pn.pred = ps.pred WHERE sec > 1e-9 UNION ALL SELECT rec_id, i, pred, NULL, 0 FROM pn),
+    tree AS (SELECT rec_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST([] AS VARCHAR[]) AS who, CAST(0 AS DOUBLE) AS total FROM pn WHERE i = 1 UNION ALL
+      SELECT t.rec_id, o.i, CASE WHEN o.ref IS NULL THEN used ELSE list_append(used, o.ref) END, CASE WHEN o.ref IS NULL THEN who ELSE list_append(who, o.pred) END, total + o.sec FROM tree t JOIN op o ON o.rec_id = t.rec_id AND o.i = t.i + 1 AND (o.ref IS NULL OR NOT list_contains(used, o.ref))),
+    best AS MATERIALIZED (SELECT rec_id, used, who FROM tree WHERE len(used) > 0 QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY round(total, 6) DESC, len(used) DESC) = 1),
+    mapped AS (SELECT rec_id, unnest(who) AS pred, unnest(used) AS ref FROM best)"""
 
-    def assign(rows: list[dict]) -> list[dict]:
-        found = folds.best_assignment({(r["pred"], r["ref"]): r["seconds"] for r in rows})
-        return [{"pred": a, "ref": b, "both": next(r["seconds"] for r in rows if (r["pred"], r["ref"]) == (a, b))} for a, b in found.items()]
 
-    mapped = folds.grouped(pairs, assign, "rec_id long, pred string, ref string, both double", order=("pred", "ref"))
-    per = refs.join(mapped, ["rec_id", "ref"], "left").join(preds, ["rec_id", "pred"], "left")
-    jer = F.coalesce(1 - F.col("both") / (F.col("ref_s") + F.col("pred_s") - F.col("both")), F.lit(1.0))
-    per = per.select("rec_id", "ref", jer.alias("jer"), F.coalesce("both", F.lit(0.0)).alias("correct"))
-    number = lambda side: own.select("rec_id", F.explode(side).alias("x")).groupBy("rec_id").agg(F.count_distinct("x").alias(f"{side}_speakers"))
-    return parts, per, number("ref").join(number("pred"), "rec_id", "full")
+_DER = f"""{_ASSIGN}, d AS (SELECT rec_id, "end" - start AS d, ref, pred, len(ref) AS r, len(pred) AS p FROM act),
+    pt AS (SELECT rec_id, round(sum(r * d), 6) AS reference_s, round(sum(greatest(0, r - p) * d), 6) AS miss_s, round(sum(greatest(0, p - r) * d), 6) AS false_alarm_s, round(sum(least(r, p) * d), 6) AS matchable_s FROM d GROUP BY 1),
+    rs AS (SELECT rec_id, x AS ref, sum(d) AS ref_s FROM (SELECT rec_id, d, unnest(ref) AS x FROM d) GROUP BY 1, 2), pr AS (SELECT rec_id, x AS pred, sum(d) AS pred_s FROM (SELECT rec_id, d, unnest(pred) AS x FROM d) GROUP BY 1, 2),
+    jr AS (SELECT rs.rec_id, rs.ref, coalesce(ps.sec, 0) AS both_s, coalesce(1 - ps.sec / (ref_s + pred_s - ps.sec), 1.0) AS jer FROM rs LEFT JOIN mapped m ON rs.rec_id = m.rec_id AND rs.ref = m.ref
+      LEFT JOIN ps ON ps.rec_id = m.rec_id AND ps.pred = m.pred AND ps.ref = m.ref LEFT JOIN pr ON pr.rec_id = m.rec_id AND pr.pred = m.pred)"""
 
 
-@query()
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.diarization_errors(iv.active_sets(*_sides(spark, sf_dir)))
+
+
+@query(
+    f"""WITH RECURSIVE {_DER}, j AS (SELECT rec_id, avg(jer) AS jer, sum(both_s) AS correct FROM jr GROUP BY 1)
+    SELECT pt.rec_id, reference_s, miss_s, false_alarm_s, round(matchable_s - correct, 6) AS confusion_s, round((miss_s + false_alarm_s + matchable_s - correct) / reference_s, 6) AS der, round(jer, 6) AS jer FROM pt JOIN j ON pt.rec_id = j.rec_id"""
+)
 def agg_der_jer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diarization and Jaccard error with the best mapping of predicted to reference speakers."""
-    parts, per, _ = _errors(spark, sf_dir)
-    score = per.groupBy("rec_id").agg(F.avg("jer").alias("jer"), F.sum("correct").alias("correct"))
-    rows = parts.join(score, "rec_id")
+    parts = ("reference_s", "miss_s", "false_alarm_s", "matchable_s")
+    rows = _errors(spark, sf_dir).groupBy("rec_id").agg(*(F.first(c).alias(c) for c in parts), F.avg("jer").alias("jer"), F.sum("correct").alias("correct")).where("jer IS NOT NULL")
     confusion = F.col("matchable_s") - F.col("correct")
     der = (F.col("miss_s") + F.col("false_alarm_s") + confusion) / F.col("reference_s")
     return rows.select("rec_id", "reference_s", "miss_s", "false_alarm_s", F.round(confusion, 6).alias("confusion_s"), F.round(der, 6).alias("der"), F.round("jer", 6).alias("jer"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_DER}, n AS (SELECT rec_id, count(DISTINCT ref) AS r FROM rs GROUP BY 1), m AS (SELECT rec_id, count(DISTINCT pred) AS p FROM pr GROUP BY 1),
+    o AS (SELECT coalesce(p, 0) - coalesce(r, 0) AS off FROM n FULL JOIN m ON n.rec_id = m.rec_id),
+    t AS (SELECT sum(reference_s) AS reference_s, sum(miss_s) + sum(false_alarm_s) + sum(matchable_s) AS lost, count(*) AS recordings FROM pt)
+    SELECT round((lost - (SELECT sum(both_s) FROM jr)) / reference_s, 6) AS der, round((SELECT avg(jer) FROM jr), 6) AS jer, round((SELECT avg(abs(off)) FROM o), 6) AS speaker_count_error,
+      round((SELECT avg(CASE WHEN off = 0 THEN 1.0 ELSE 0.0 END) FROM o), 6) AS speaker_count_right, recordings FROM t"""
+)
 def agg_der_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of all recordings: seconds are summed, Jaccard errors averaged over all speakers, differences in numbers of speakers averaged."""
-    parts, per, number = _errors(spark, sf_dir)
-    speakers = per.agg(F.round(F.avg("jer"), 6).alias("jer"), F.sum("correct").alias("correct"))
-    rows = parts.agg(*(F.sum(c).alias(c) for c in ("reference_s", "miss_s", "false_alarm_s", "matchable_s")), F.count("*").alias("recordings"))
-    off = F.col("pred_speakers") - F.col("ref_speakers")
-    counts = number.na.fill(0).agg(F.round(F.avg(F.abs(off)), 6).alias("speaker_count_error"), F.round(F.avg((off == 0).cast("int")), 6).alias("speaker_count_right"))
-    der = (F.col("miss_s") + F.col("false_alarm_s") + F.col("matchable_s") - F.col("correct")) / F.col("reference_s")
-    one = rows.crossJoin(speakers).crossJoin(counts)  # one row each
-    return one.select(F.round(der, 6).alias("der"), "jer", "speaker_count_error", "speaker_count_right", "recordings")
+    each = _errors(spark, sf_dir)
+    parts = ("reference_s", "miss_s", "false_alarm_s", "matchable_s", "refs", "preds")
+    rows = each.groupBy("rec_id").agg(*(F.first(c).alias(c) for c in parts), F.sum("jer").alias("jer"), F.count("jer").alias("n"), F.sum("correct").alias("correct"))
+    off, total = F.col("preds") - F.col("refs"), F.sum
+    lost = total("miss_s") + total("false_alarm_s") + total("matchable_s") - total("correct")
+    return rows.agg(
+        F.round(lost / total("reference_s"), 6).alias("der"),
+        F.round(total("jer") / total("n"), 6).alias("jer"),
+        F.round(F.avg(F.abs(off)), 6).alias("speaker_count_error"),
+        F.round(F.avg((off == 0).cast("int")), 6).alias("speaker_count_right"),
+        F.count("*").alias("recordings"),
+    )
 
 
 def _fold(spark: SparkSession, sf_dir: str, f, schema: str) -> DataFrame:
     return folds.grouped(segments(spark, sf_dir).select("rec_id", "seg_idx", "start", "end", "text", "speaker", "value"), f, schema)
 
 
-@query()
+def _span_sql(span: float, gap: float | None) -> str:
+    near = "" if gap is None else f" AND s.start - w.we <= {gap} + 1e-9"
+    return f"""WITH RECURSIVE g AS MATERIALIZED (SELECT * FROM segments), w AS (SELECT rec_id, seg_idx, 0 AS win, start AS ws, "end" AS we FROM g WHERE seg_idx = 0 UNION ALL
+      SELECT rec_id, seg_idx, CASE WHEN ok THEN win ELSE win + 1 END, CASE WHEN ok THEN ws ELSE s0 END, CASE WHEN ok THEN greatest(we, s1) ELSE s1 END
+      FROM (SELECT s.rec_id, s.seg_idx, s.start AS s0, s."end" AS s1, w.win, w.ws, w.we, s."end" - w.ws <= {span} + 1e-9{near} AS ok FROM w JOIN g s ON s.rec_id = w.rec_id AND s.seg_idx = w.seg_idx + 1))
+    SELECT rec_id, win, min(ws) AS start, max(we) AS "end", CAST(count(*) AS INTEGER) AS rows FROM w GROUP BY 1, 2"""
+
+
+@query(
+    _span_sql(20.0, 1.5)
+)
 def win_review_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(spark, sf_dir, lambda rows: folds.span_windows(rows, 20.0, 1.5), "rec_id long, win int, start double, end double, rows int")
 
 
-@query()
+@query(
+    _span_sql(90.0, None)
+)
 def win_lexical_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(spark, sf_dir, lambda rows: folds.span_windows(rows, 90.0, None), "rec_id long, win int, start double, end double, rows int")
 
 
-@query()
+@query(
+    """WITH RECURSIVE g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY seg_idx) AS k FROM segments WHERE speaker IS NOT NULL),
+    w AS (SELECT rec_id, k, 0 AS turn, speaker, start AS ws, "end" AS we FROM g WHERE k = 1 UNION ALL
+      SELECT rec_id, k, CASE WHEN ok THEN turn ELSE turn + 1 END, speaker, CASE WHEN ok THEN ws ELSE s0 END, s1
+      FROM (SELECT s.rec_id, s.k, s.speaker, s.start AS s0, s."end" AS s1, w.turn, w.ws, w.speaker = s.speaker AND s.start - w.we < 1.2 AND s."end" - w.ws <= 20 + 1e-9 AS ok FROM w JOIN g s ON s.rec_id = w.rec_id AND s.k = w.k + 1))
+    SELECT rec_id, turn, speaker, min(ws) AS start, arg_max(we, k) AS "end", CAST(count(*) AS INTEGER) AS rows FROM w GROUP BY 1, 2, 3"""
+)
 def win_ui_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(spark, sf_dir, lambda rows: folds.block_turns(rows, 1.2, 20.0), "rec_id long, turn int, speaker string, start double, end double, rows int")
 
 
-@query()
+@query(
+    """WITH RECURSIVE g AS MATERIALIZED (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY seg_idx) AS k, length(coalesce(text, '')) AS n FROM turns),
+    w AS (SELECT rec_id, k, 0 AS chunk, n AS chars FROM g WHERE k = 1 UNION ALL
+      SELECT s.rec_id, s.k, CASE WHEN w.chars + s.n <= 200 THEN chunk ELSE chunk + 1 END, CASE WHEN w.chars + s.n <= 200 THEN w.chars + s.n ELSE s.n END FROM w JOIN g s ON s.rec_id = w.rec_id AND s.k = w.k + 1)
+    SELECT rec_id, chunk, CAST(max(chars) AS INTEGER) AS chars, CAST(count(*) AS INTEGER) AS rows FROM w GROUP BY 1, 2"""
+)
 def win_chunk_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.grouped(turns(spark, sf_dir), lambda rows: folds.chunk_texts(rows, 4000), "rec_id long, chunk int, chars int, rows int")
+    """The conversations are short, so the chunks are as well."""
+    return folds.grouped(turns(spark, sf_dir), lambda rows: folds.chunk_texts(rows, 200), "rec_id long, chunk int, chars int, rows int")
 
 
 @query()
@@ -261,9 +295,18 @@ def iv_split_merge_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(spark, sf_dir, lambda rows: folds.speech_chunks(rows, 5.0, 0.75), "rec_id long, chunk int, start double, end double")
 
 
-@query()
+@query(
+    """WITH RECURSIVE g AS MATERIALIZED (SELECT rec_id, seg_idx, start, "end", CASE WHEN event_id % 4 = 0 THEN ' 嗯' ELSE text END AS text FROM segments),
+    w AS (SELECT rec_id, seg_idx, seg_idx AS head, start, "end", text FROM g WHERE seg_idx = 0 UNION ALL
+      SELECT rec_id, i, CASE WHEN ok THEN head ELSE i END, CASE WHEN ok THEN s0 ELSE t0 END, t1, CASE WHEN ok THEN s || trim(t) ELSE t END
+      FROM (SELECT g.rec_id, g.seg_idx AS i, w.head, w.start AS s0, g.start AS t0, g."end" AS t1, w.text AS s, g.text AS t, length(trim(g.text)) = 1 AND g."end" - g.start <= 1.2 AND g.start - w."end" <= 0.8 AND length(w.text) >= 8 AS ok
+        FROM w JOIN g ON g.rec_id = w.rec_id AND g.seg_idx = w.seg_idx + 1))
+    SELECT rec_id, head AS seg_idx, min(start) AS start, arg_max("end", w.seg_idx) AS "end", arg_max(text, w.seg_idx) AS text FROM w GROUP BY 1, 2"""
+)
 def win_merge_single_char(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fold(spark, sf_dir, lambda rows: folds.merge_fragments(rows, 1.2, 0.8, 8), "rec_id long, seg_idx int, start double, end double, text string")
+    """Every fourth text is a single character."""
+    s = segments(spark, sf_dir).withColumn("text", F.expr("CASE WHEN event_id % 4 = 0 THEN ' 嗯' ELSE text END")).select("rec_id", "seg_idx", "start", "end", "text")
+    return folds.grouped(s, lambda rows: folds.merge_fragments(rows, 1.2, 0.8, 8), "rec_id long, seg_idx int, start double, end double, text string")
 
 
 @query(
@@ -287,12 +330,18 @@ def flt_weak_phrase_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("gone", layers.weak_phrase(s, ("嗯", "view 1"), 1.0)).where("gone").select("rec_id", "seg_idx")
 
 
-@query()
+@query(
+    """WITH RECURSIVE g AS MATERIALIZED (SELECT rec_id, seg_idx, start, row_number() OVER (PARTITION BY rec_id ORDER BY value DESC, start, seg_idx) AS k FROM segments),
+    w AS (SELECT rec_id, k, seg_idx, true AS fits, [start] AS chosen FROM g WHERE k = 1 UNION ALL
+      SELECT rec_id, k, seg_idx, ok, CASE WHEN ok THEN list_append(chosen, start) ELSE chosen END
+      FROM (SELECT g.rec_id, g.k, g.seg_idx, g.start, w.chosen, len(w.chosen) < 24 AND len(list_filter(w.chosen, lambda c: abs(g.start - c) < 3.0)) = 0 AS ok FROM w JOIN g ON g.rec_id = w.rec_id AND g.k = w.k + 1))
+    SELECT rec_id, CAST(len(chosen) - 1 AS INTEGER) AS place, seg_idx FROM w WHERE fits"""
+)
 def topk_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold(spark, sf_dir, lambda rows: folds.spaced(rows, 3.0, 24), "rec_id long, place int, seg_idx int")
 
 
-@query()
+@query(f"WITH RECURSIVE {_ASSIGN} SELECT rec_id, pred, ref FROM mapped")
 def vec_hungarian(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = iv.pair_seconds(iv.active_sets(*_sides(spark, sf_dir)))
 
