@@ -12,6 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Parts that the vectors of a join with profiles are dealt to.
+SALTS = 64
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -38,9 +42,14 @@ def centroids(vectors: DataFrame, label: str, vec: str) -> DataFrame:
 
 
 def ranked(vectors: DataFrame, key: str, vec: str, profiles: DataFrame, name: str, centroid: str, k: int = 2) -> DataFrame:
-    """Each vector's k most similar profiles, with rank and cosine."""
-    p = profiles.select(F.col(name).alias("name"), F.col(centroid).alias("c"))
-    pairs = vectors.select(key, vec).join(p, F.size(vec) == F.size("c"))
+    """Each vector's k most similar profiles, with rank and cosine.
+
+    Vectors are dealt out by a salt that every profile has all of: profiles are few against vectors, and Spark
+    broadcasts them where their size allows it.
+    """
+    p = profiles.select(F.col(name).alias("name"), F.col(centroid).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = vectors.select(key, vec, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"))
+    pairs = salted.join(p, "salt").where(F.size(vec) == F.size("c"))
     s = pairs.select(key, "name", F.round(cosine(vec, "c"), 6).alias("score"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "name"))
     return s.withColumn("rank", rank).where(F.col("rank") <= k)
