@@ -54,8 +54,8 @@ BLOCK_ROWS = 60_000
 BUCKET_BYTES = 8 << 20  #: text that a bucket of signatures stands for
 LEADERS = 2  #: leaders that a set is tried against in a round
 ROUNDS = 2  #: rounds of leaders
-GROUP = 500  #: sets of a chunk of a family or a component; two chunks meet in a task
-GROUP_BYTES = 16 << 20  #: of a chunk's sets
+GROUP = 2000  #: sets of a chunk of a family or a component; two chunks meet in a task
+GROUP_BYTES = 32 << 20  #: of a chunk's sets
 
 _U = np.uint64
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
