@@ -1,4 +1,4 @@
-"""Numbers: rounding by the exact binary value."""
+"""Numbers: rounding by the exact binary value, and arithmetic as the SQL's engine does it."""
 
 from __future__ import annotations
 
@@ -26,3 +26,28 @@ def exact_round(x: str | Column, digits: int) -> Column:
     tie = p - below == 0.5
     whole = F.when(tie & (error > 0), below + 1).when(tie & (error < 0), below).otherwise(F.rint(p))
     return F.when(F.isnan(x) | (F.abs(p) >= 2.0**52), x).otherwise(whole / scale)
+
+
+def scaled_round(x: str | Column, digits: int) -> Column:
+    """x to so many decimals as SQL's engine does: the scaled double is rounded, half away from zero."""
+    x = F.col(x) if isinstance(x, str) else x
+    p = x * 10.0**digits
+    return F.when(F.isnan(x) | (F.abs(p) >= 2.0**52), x).otherwise(F.round(p) / 10.0**digits)
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with the product's error kept until the end."""
+    cut_a, cut_b = a * _SPLITTER, b * _SPLITTER
+    a_hi, b_hi = cut_a - (cut_a - a), cut_b - (cut_b - b)
+    a_lo, b_lo, p = a - a_hi, b - b_hi, a * b
+    error = ((a_hi * b_hi - p) + a_hi * b_lo + a_lo * b_hi) + a_lo * b_lo
+    s = p + c
+    back = s - p
+    return s + (((p - (s - back)) + (c - back)) + error)
+
+
+def between(low: Column, high: Column, share: Column) -> Column:
+    """The value a share of the way from low to high, to the last bit as a continuous quantile of the SQL's engine."""
+    plain = low * (1 - share) + high * share
+    exact = fused(low, 1 - share, high * share)
+    return F.when(share == 0, low).otherwise(F.when(F.abs(plain) < 1e280, exact).otherwise(plain))

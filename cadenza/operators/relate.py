@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.functions.numbers import between, scaled_round
 from cadenza.operators.intervals import merged, overlap_join
 
 
@@ -85,12 +86,22 @@ def powerset_overlap(logits: str | Column, several: list[int]) -> Column:
     return sum((F.element_at(e, i + 1) for i in several), F.lit(0.0)) / total
 
 
+def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column for each share): continuous quantiles of the values that aren't null, by rank; no group is held in memory."""
+    ranks = rows.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(W.partitionBy(by).orderBy(value)) - 1).alias("_r"), F.count("*").over(W.partitionBy(by)).alias("_n"))
+    place = {name: (F.col("_n") - 1) * F.lit(q) for name, q in shares.items()}
+    near = [F.max(F.when(F.col("_r") == side(p), F.col(value))).alias(f"_{name}_{side.__name__}") for name, p in place.items() for side in (F.floor, F.ceil)]
+    at = ranks.groupBy(by).agg(F.max("_n").alias("_n"), *near)
+    return at.select(by, *(between(F.col(f"_{name}_floor"), F.col(f"_{name}_ceil"), p - F.floor(p)).alias(name) for name, p in place.items()))
+
+
 def signal_quality(frames: DataFrame) -> DataFrame:
-    """(rec_id, noise, level, snr, silence) of frame levels (rec_id, rms), by exact percentiles."""
-    at = frames.groupBy("rec_id").agg(F.percentile("rms", 0.15).alias("noise"), F.percentile("rms", 0.85).alias("level"))
-    quiet = frames.join(at, "rec_id").groupBy("rec_id").agg(F.avg((F.col("rms") <= F.col("noise") * 1.2).cast("double")).alias("silence"))
+    """(rec_id, noise, level, snr, silence) of frame levels (rec_id, rms), by exact percentiles; a frame without a level isn't silent."""
+    at = quantiles(frames, "rec_id", "rms", {"noise": 0.15, "level": 0.85})
+    quiet = F.coalesce(F.col("rms") <= F.col("noise") * 1.2, F.lit(False)).cast("double")
+    rows = frames.where("rec_id IS NOT NULL").join(at, "rec_id", "left").groupBy("rec_id", "noise", "level").agg(F.avg(quiet).alias("silence"))
     snr = 20 * F.log10(F.greatest("level", F.lit(1e-9)) / F.greatest("noise", F.lit(1e-9)))
-    return at.join(quiet, "rec_id").select("rec_id", F.round("noise", 6).alias("noise"), F.round("level", 6).alias("level"), F.round(snr, 6).alias("snr"), F.round("silence", 6).alias("silence"))
+    return rows.select("rec_id", *(scaled_round(x, 6).alias(name) for name, x in (("noise", "noise"), ("level", "level"), ("snr", snr), ("silence", "silence"))))
 
 
 def audio_channels(frames: DataFrame) -> DataFrame:
