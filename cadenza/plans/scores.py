@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as tx
 from cadenza.functions import udfs
+from cadenza.functions.numbers import scaled_round
 from cadenza.operators import folds, integrity, layers, select
 from cadenza.operators import intervals as iv
 from cadenza.plans.registry import query
@@ -215,8 +216,8 @@ def agg_der_jer(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ("reference_s", "miss_s", "false_alarm_s", "matchable_s")
     rows = _errors(spark, sf_dir).groupBy("rec_id").agg(*(F.first(c).alias(c) for c in parts), F.avg("jer").alias("jer"), F.sum("correct").alias("correct")).where("jer IS NOT NULL")
     confusion = F.col("matchable_s") - F.col("correct")
-    der = (F.col("miss_s") + F.col("false_alarm_s") + confusion) / F.col("reference_s")
-    return rows.select("rec_id", "reference_s", "miss_s", "false_alarm_s", F.round(confusion, 6).alias("confusion_s"), F.round(der, 6).alias("der"), F.round("jer", 6).alias("jer"))
+    der = (F.col("miss_s") + F.col("false_alarm_s") + F.col("matchable_s") - F.col("correct")) / F.col("reference_s")
+    return rows.select("rec_id", "reference_s", "miss_s", "false_alarm_s", scaled_round(confusion, 6).alias("confusion_s"), scaled_round(der, 6).alias("der"), scaled_round("jer", 6).alias("jer"))
 
 
 @query(
