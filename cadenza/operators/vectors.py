@@ -7,13 +7,22 @@ check allows it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.functions.numbers import between, scaled_round
 
 #: Parts that the vectors of a join with profiles are dealt to.
 SALTS = 64
+#: Vectors of a block whose pairs one task goes through, and pairs that it holds at once.
+BLOCK, CELLS = 8192, 1 << 20
+#: Cosines in billionths: what makes them positive, one that isn't a number, and the bits of a range that is counted as one.
+LOWEST, NO_NUMBER, RANGE = 1 << 31, 1 << 31, 16
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -64,12 +73,105 @@ def matched(ranks: DataFrame, key: str, accept: float = 0.75, margin: float = 0.
 
 
 def consistency(vectors: DataFrame, label: str, key: str, vec: str) -> DataFrame:
-    """Median, tenth percentile and least cosine over the pairs of each label's vectors."""
-    a = vectors.select(label, F.col(key).alias("i"), unit(vec).alias("x"))
-    b = vectors.select(F.col(label).alias("l"), F.col(key).alias("j"), unit(vec).alias("y"))
-    pairs = a.join(b, (F.col(label) == F.col("l")) & (F.col("i") < F.col("j"))).select(label, F.round(dot("x", "y"), 9).alias("s"))
-    at = lambda q: F.round(F.percentile("s", q), 6)
-    return pairs.groupBy(label).agg(F.count("*").alias("pairs"), at(0.5).alias("median"), at(0.1).alias("p10"), F.round(F.min("s"), 6).alias("least"))
+    """Median, tenth percentile and least cosine over the pairs of each label's vectors, of cosines to nine decimals.
+
+    Vectors are dealt to blocks of about ``BLOCK``, and a task has a pair of blocks. All pairs are gone through twice and never are
+    rows: at first they are counted by ranges of the cosine, then those in the few ranges that hold a wanted rank by value.
+    """
+    rows = vectors.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(label).alias("label"), F.col(key).alias("key"), F.col(vec).alias("x"))
+    same = rows.groupBy("label", "key").agg(F.count("*").alias("c"))
+    total = same.groupBy("label").agg(((F.sum("c") * (F.sum("c") - 1) - F.sum(F.expr("c * (c - 1)"))) / 2).cast("long").alias("pairs")).where("pairs > 0")
+    held = rows.where(~F.exists("x", lambda e: e.isNull())).withColumn("d", F.size("x")).where("d > 0")
+    blocks = held.groupBy("label", "d").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = held.join(blocks, ["label", "d"]).withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("b", "o")).withColumn("q", F.greatest("b", "o"))
+    by, cols = ["label", "d", "p", "q"], ["label", "d", "p", "q", "b", "key", "x"]
+    kind = rows.schema["label"].dataType.simpleString()
+    seen = own.select(cols).groupBy(by).applyInArrow(_counted, f"label {kind}, bin long, n long, least long").groupBy("label", "bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    w = W.partitionBy("label").orderBy("bin")
+    run = seen.select("label", "bin", "least", F.sum("n").over(w).alias("until"), F.sum("n").over(W.partitionBy("label")).alias("m"), "n").withColumn("before", F.col("until") - F.col("n"))
+    place = {name: (F.col("m") - 1) * F.lit(share) for name, share in (("median", 0.5), ("p10", 0.1))}
+    ranks = {(name, side.__name__): side(x) for name, x in place.items() for side in (F.floor, F.ceil)}
+    inside = lambda r: (r >= F.col("before")) & (r < F.col("until"))
+    hit = inside(ranks["median", "floor"])
+    for r in ranks.values():
+        hit = hit | inside(r)
+    wanted = run.where(hit).groupBy("label").agg(F.collect_list(F.struct("bin", "before")).alias("bins"), F.max("m").alias("m"))
+    some = own.join(wanted.select("label", F.col("bins.bin").alias("bins")), "label").select(*cols, "bins").groupBy(by).applyInArrow(_listed, f"label {kind}, bin long, v long, n long")
+    values = some.groupBy("label", "bin", "v").agg(F.sum("n").alias("n")).join(wanted.select("label", "m", F.explode("bins").alias("e")).select("label", "m", "e.*"), ["label", "bin"])
+    values = values.withColumn("until", F.col("before") + F.sum("n").over(W.partitionBy("label", "bin").orderBy("v"))).withColumn("before", F.col("until") - F.col("n"))
+    number = lambda v: F.when(F.col(v) == NO_NUMBER, float("nan")).otherwise(F.col(v) / 1e9)
+    at = values.groupBy("label").agg(F.max("m").alias("m"), *(F.max(F.when(inside(r), number("v"))).alias("_".join(k)) for k, r in ranks.items()))
+    at = at.select("label", *(scaled_round(between(F.col(f"{name}_floor"), F.col(f"{name}_ceil"), x - F.floor(x)), 6).alias(name) for name, x in place.items()))
+    least = seen.groupBy("label").agg(F.min("least").alias("v")).select("label", scaled_round(number("v"), 6).alias("least"))
+    return total.join(at, "label", "left").join(least, "label", "left").select(F.col("label").alias(label), "pairs", "median", "p10", "least")
+
+
+def _cosines(rows: pa.Table) -> Iterator[np.ndarray]:
+    """Of each pair of the two blocks' vectors, or of one block's, the cosine in billionths, stretch by stretch.
+
+    Where a cosine from a product of matrices is so near to the edge of rounding that its order of summing counts, it is
+    summed in the order of components.
+    """
+    d, p, q = (rows.column(c)[0].as_py() for c in ("d", "p", "q"))
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(float)
+    key = rows.column("key").to_pandas().to_numpy()
+    side = rows.column("b").to_numpy()
+    square = np.zeros(len(x))
+    for c in range(d):
+        square += x[:, c] * x[:, c]
+    real = square != 0
+    x, key, side = x[real] / np.sqrt(square[real])[:, None], key[real], side[real]
+    if p == q:
+        o = np.argsort(key, kind="stable")
+        x, key = x[o], key[o]
+        a = b = x
+        ends = np.searchsorted(key, key, "right")  # pairs are of different keys
+    else:
+        a, b = x[side == p], x[side == q]
+    step = max(1, CELLS // max(1, len(b)))
+    for at in range(0, len(a), step):
+        some = a[at : at + step]
+        first = int(ends[at]) if p == q else 0
+        rest = b[first:]
+        t = (some @ rest.T) * 1e9
+        v = np.rint(t)
+        i, j = np.nonzero(np.abs(t - v) > 0.5 - 1e-6 * max(d, 100))
+        exact = np.zeros(len(i))
+        for c in range(d):
+            exact += some[i, c] * rest[j, c]
+        exact *= 1e9
+        whole = np.trunc(exact)
+        v[i, j] = whole + np.sign(exact) * (np.abs(exact - whole) >= 0.5)
+        v[np.isnan(v)] = NO_NUMBER
+        keep = v[np.arange(first, len(b))[None, :] >= ends[at : at + step, None]] if p == q else v.ravel()
+        yield keep.astype(np.int64)
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    n, least = np.zeros(((NO_NUMBER + LOWEST) >> RANGE) + 1, np.int64), NO_NUMBER
+    for v in _cosines(rows):
+        if len(v):
+            least = min(least, int(v.min()))
+            n += np.bincount((v + LOWEST) >> RANGE, minlength=len(n))
+    at = np.flatnonzero(n)
+    return _table(rows, bin=at, n=n[at], least=np.full(len(at), least))
+
+
+def _listed(rows: pa.Table) -> pa.Table:
+    wanted = np.zeros(((NO_NUMBER + LOWEST) >> RANGE) + 1, bool)
+    wanted[rows.column("bins")[0].as_py()] = True
+    v, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for x in _cosines(rows):
+        found, times = np.unique(x[wanted[(x + LOWEST) >> RANGE]], return_counts=True)
+        v, at = np.unique(np.concatenate((v, found)), return_inverse=True)
+        n = np.bincount(at, np.concatenate((n, times)), len(v)).astype(np.int64)
+    return _table(rows, bin=(v + LOWEST) >> RANGE, v=v, n=n)
+
+
+def _table(rows: pa.Table, **columns: np.ndarray) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    return pa.table({"label": pa.array([rows.column("label")[0].as_py()] * n, rows.schema.field("label").type), **{k: pa.array(x, pa.int64()) for k, x in columns.items()}})
 
 
 def weighted_median(rows: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
