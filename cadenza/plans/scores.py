@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -356,11 +358,12 @@ def vec_hungarian(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_eigengap(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.expr("vec_id % 5").alias("rec_id"), F.col("vec_id").alias("seg_idx"), "embedding")
 
-    def count(rows: list[dict]) -> list[dict]:
-        k, gap = folds.eigengap([list(r["embedding"]) for r in rows])
-        return [{"speakers": k, "gap": round(gap, 6)}]
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        rec, rows = pdf["rec_id"].iloc[0], np.stack(pdf.sort_values("seg_idx")["embedding"].to_list())
+        k, gap = folds.eigengap(rows)
+        return pd.DataFrame({"rec_id": [rec], "speakers": [k], "gap": [round(gap, 6)]})
 
-    return folds.grouped(v, count, "rec_id long, speakers int, gap double")
+    return v.groupBy("rec_id").applyInPandas(count, "rec_id long, speakers int, gap double")
 
 
 # Integrity
