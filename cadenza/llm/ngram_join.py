@@ -56,6 +56,8 @@ LEADERS = 2  #: leaders that a set is tried against in a round
 ROUNDS = 2  #: rounds of leaders
 GROUP = 500  #: sets of a chunk of a family or a component; two chunks meet in a task
 GROUP_BYTES = 16 << 20  #: of a chunk's sets
+ONE_TASK = 1 << 21  #: links that one task joins to components; more are joined by rounds of joins
+ID_BITS, PIECE_BITS = 32, 20  #: bits of the filter of ids for each id, at least; of a piece of it, as a power of two
 
 _U = np.uint64
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -296,8 +298,34 @@ def _prefixes(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(sig, pa.int64()), "node": pa.array((block << 16) | local[keep], pa.int64())})
 
 
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of the nodes of all links (a, b)."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    ends = np.concatenate([x for x, _ in held] + [y for _, y in held]) if held else np.empty(0, np.int64)
+    node, code = np.unique(ends, return_inverse=True)
+    a, b = np.split(code, 2)
+    up = np.arange(len(node))  # nodes rise, so the least place is the least node
+    while len(a):
+        low = np.minimum(up[a], up[b])
+        np.minimum.at(up, up[a], low)
+        np.minimum.at(up, up[b], low)
+        while (up[up] != up).any():
+            up = up[up]
+        apart = up[a] != up[b]
+        a, b = a[apart], b[apart]
+    for at in range(0, len(node), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(node[part], pa.int64()), pa.array(node[up[part]], pa.int64())], ["node", "comp"])
+
+
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, comp): the least node that each can reach over links (a, b). Labels fall and are shortened until they rest."""
+    """(node, comp): the least node that each can reach over links (a, b), which are stored.
+
+    One task joins up to ``ONE_TASK`` of them; with more, labels fall and are shortened until they rest.
+    """
+    if links.count() <= ONE_TASK:
+        found = links.select("a", "b").coalesce(1).mapInArrow(lean(_least), "node long, comp long")
+        return scratch.stored(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "labels")
     both = scratch.stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = scratch.stored(nodes.select("node", F.col("node").alias("comp")), "labels")
     while True:
@@ -316,6 +344,38 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
         scratch.drop(hooked)
 
 
+def _piece(key: tuple, rows: pa.Table) -> pa.Table:
+    """A piece of the filter of ids: its bits at the rows' places."""
+    bits = np.zeros(1 << PIECE_BITS, np.uint8)
+    bits[rows.column("at").to_numpy() & ((1 << PIECE_BITS) - 1)] = 1
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def with_ids(rows: DataFrame, id_col: str, ids: DataFrame, n: int) -> DataFrame:
+    """``rows`` (id, text) but for most of those whose id isn't among the n ``ids`` (k).
+
+    A broadcast of some bytes for each id tells them: a bit for each hash. So only texts that are asked for, and at
+    most a row in ``ID_BITS`` of the others, reach a join, whatever plan it takes.
+    """
+    power = max(PIECE_BITS, (n * ID_BITS - 1).bit_length())
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << power) - 1))
+    at = ids.select(place("k").alias("at")).withColumn("piece", F.shiftright("at", PIECE_BITS))
+    bits = np.zeros(1 << power >> 3, np.uint8)
+    for r in at.groupBy("piece").applyInArrow(lean_group(_piece), "piece long, bits binary").collect():
+        bits[r.piece << PIECE_BITS >> 3 : (r.piece + 1) << PIECE_BITS >> 3] = np.frombuffer(r.bits, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            x = batch.column(2).to_numpy()
+            held = bits[x >> 3] >> (x & 7).astype(np.uint8) & 1
+            yield batch.select([0, 1]).filter(pa.array(held.astype(bool)))
+
+    kept = rows.select(id_col, "text").where(F.col(id_col).isNotNull())
+    return kept.withColumn("at", place(id_col)).mapInArrow(lean(run), kept.schema)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, feat) of (node, set, text) rows whose text has that set."""
     for batch in batches:
@@ -506,9 +566,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Sets of all that may link, from their texts.
     who = shared.select("node").distinct()
     who = stored(who.join(fact.where("signs").select("node", "doc_id", "set", "n"), "node"), "jaccard-nodes")
-    texts = d.join(who.select(F.col("doc_id").alias("k"), "node", "set"), F.col("doc_id") == F.col("k")).select("node", "set", "text")
+    wanted = who.select(F.col("doc_id").alias("k"), "node", "set")
+    found = who.count()
+    texts = with_ids(d, "doc_id", wanted.select("k"), found).join(wanted, F.col("doc_id") == F.col("k")).select("node", "set", "text")
     feats = stored(texts.mapInArrow(lean(_features), "node long, feat binary").dropDuplicates(["node"]), "jaccard-features")
-    if feats.count() != who.count():
+    if feats.count() != found:
         raise RuntimeError("the table changed between two passes")
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -226,6 +226,28 @@ def test_jaccard_links_are_counted(spark, monkeypatch, group):
     assert {x.doc_id: x.n_links for x in found} == {**want, None: 0}
 
 
+@pytest.mark.parametrize("most", [1 << 21, 0])
+def test_components_of_links(spark, monkeypatch, most):
+    """In one task and by joins: chains, a star, a lone node, no links."""
+    monkeypatch.setattr(ngram_join, "ONE_TASK", most)
+    links = [(i + 1, i) for i in range(100, 160)] + [(500, i) for i in range(400, 430)] + [(7, 9), (9, 7)]
+    nodes = spark.createDataFrame([(i,) for i in range(600)], "node long")
+    scratch = ngram_join.Scratch(spark)
+    got = {r.node: r.comp for r in ngram_join.components(nodes, spark.createDataFrame(links, "a long, b long"), scratch).collect()}
+    want = {i: 100 if 100 <= i <= 160 else 400 if 400 <= i < 430 or i == 500 else 7 if i == 9 else i for i in range(600)}
+    assert got == want
+    none = ngram_join.components(nodes, spark.createDataFrame([], "a long, b long"), scratch).collect()
+    assert all(r.node == r.comp for r in none) and len(none) == 600
+
+
+def test_only_wanted_texts_reach_the_join(spark):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(-2000, 2000)] + [(None, "x"), (5, "again")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(-1990, 2000, 100)], "k long")
+    got = ngram_join.with_ids(rows, "doc_id", ids, 40).collect()
+    assert {i for i in range(-1990, 2000, 100)} <= {r.doc_id for r in got}
+    assert len(got) < 40 + 4000 // 16 and all(r.text in (f"text {r.doc_id}", "again") for r in got)
+
+
 def test_jaccard_of_a_long_partition(spark):
     """More rows in one partition than a slice, an Arrow batch or a block's first batch holds, with near copies throughout."""
     r = random.Random(11)
