@@ -6,11 +6,15 @@ goes into a logistic layer. Thresholds are calibrated by language, which is gues
 the text's function words (the ``lang`` column is never read): the score is shifted so that
 ``THRESHOLD`` falls on each language's calibrated cut.
 
-The model is fitted on a bounded sample (``TRAIN_ROWS`` labelled texts of each class, by
-hash of the id); all texts are scored whole.
+The model is learnt from every labelled text. Labelled texts are dealt to shards by hash of their id, as many as
+rows and bytes ask for. In each round every shard trains a copy of the net on all its
+texts, and the copies' steps are averaged, a word's row over the shards that moved it; sums are of
+whole numbers, so that neither the order nor the partitions matter. A quarter of the
+labelled texts, by crc32 of the text, isn't trained on but sets the cuts, all of it, counted in
+bins of ``1 / BINS``. All texts are scored whole.
 
 Edge cases: null and empty texts have no word and get the score of an empty text; null ids
-count as held out and keep their null; rows may repeat and get equal scores; a very long text is
+count as held out and keep their null; of rows that repeat a labelled id, each is learnt from; rows may repeat and get equal scores; a very long text is
 pooled in stretches of ``STRETCH`` words, whole; an empty table gives an empty result; with
 labels of one class or none, every score is 0. A score equal to the threshold is toxic. Other
 columns are kept by ``score_texts`` as they are.
@@ -18,6 +22,7 @@ columns are kept by ``score_texts`` as they are.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,9 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cadenza.llm.common import bounded_batches, crc_fold, labelled_sample, lean
+from cadenza.llm.common import Scratch, bounded_batches, crc_fold, lean, lean_group
 
-TRAIN_ROWS = 2000  #: labelled texts of each class that the model is fitted on
+SHARD_ROWS, SHARD_BYTES = 4000, 64 << 20  #: labelled texts of a shard; bytes of all texts that a shard stands for
+PIECES, UNIT = 16, 1 << 24  #: parts in which steps are summed; their unit is 1 / UNIT
+BINS = 64  #: bins of a logit's unit where cuts may lie
+HEAVY = 8.0  #: greatest weight of a class in training
 SLOTS = 1 << 15  #: rows of the hashed embedding; row 0 is silence
 WIDTH, FILTERS, SPANS = 12, 6, (1, 2, 3)
 STEM = 4  #: letters of a word's second hash
@@ -108,11 +116,14 @@ class Net:
             best.append(z[p, np.arange(FILTERS)])
         return np.maximum(np.concatenate(best), 0), at, e
 
-    def train(self, texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> None:
-        r = np.random.default_rng(SEED)
-        square = [np.full_like(x, 1e-6) for x in (self.rows, *self.filters, self.out)]
-        bias2 = 1e-6
-        for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(texts))))):
+    def squares(self) -> list[np.ndarray]:
+        """Sums of squared gradients before any step: of the embedding rows, the filters, the logistic layer and the bias."""
+        return [np.full_like(x, 1e-6) for x in (self.rows, *self.filters, self.out, np.zeros(1, np.float32))]
+
+    def train(self, texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, weight: np.ndarray, square: list[np.ndarray], seed: int = SEED) -> None:
+        """Steps over all texts, so many times; weight is of the classes. ``square`` goes along."""
+        r = np.random.default_rng(seed)
+        for _ in range(epochs):
             order = r.permutation(len(texts))
             for lo in range(0, len(order), BATCH):
                 g_rows: dict[int, np.ndarray] = {}
@@ -121,7 +132,7 @@ class Net:
                 for i in some:
                     a, b = texts[i]
                     h, at, e = self.pooled(a, b)
-                    err = (1 / (1 + np.exp(-np.clip(h @ self.out + self.bias, -30, 30))) - y[i]) / len(some)
+                    err = (1 / (1 + np.exp(-np.clip(h @ self.out + self.bias, -30, 30))) - y[i]) * weight[int(y[i])] / len(some)
                     g_out += err * h
                     g_bias += err
                     back = err * self.out * (h > 0)
@@ -139,10 +150,10 @@ class Net:
                 for k, g in enumerate(g_f):
                     square[k + 1] += g * g
                     self.filters[k] -= RATE * g / np.sqrt(square[k + 1])
-                square[-1] += g_out * g_out
-                self.out -= RATE * g_out / np.sqrt(square[-1])
-                bias2 += g_bias * g_bias
-                self.bias -= RATE * g_bias / np.sqrt(bias2)
+                square[-2] += g_out * g_out
+                self.out -= RATE * g_out / np.sqrt(square[-2])
+                square[-1] += g_bias * g_bias
+                self.bias -= float(RATE * g_bias / np.sqrt(square[-1][0]))
                 if g_rows:
                     x, g = np.array(list(g_rows)), np.array(list(g_rows.values()), np.float32)
                     square[0][x] += g * g
@@ -216,8 +227,28 @@ def best_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((edge[i] + edge[i + 1]) / 2)
 
 
+def epochs_for(rows: float) -> int:
+    """Rounds over so many texts."""
+    return max(EPOCHS, math.ceil(STEPS * BATCH / max(1, rows)))
+
+
+def class_weights(n: list[int]) -> np.ndarray:
+    """Weights that make classes of such sizes count alike, up to a bound."""
+    return np.minimum(HEAVY, max(n) / np.maximum(1, n))
+
+
+def set_cuts(net: Net, z: np.ndarray, y: np.ndarray, lang: np.ndarray, times: np.ndarray) -> None:
+    """Cuts of each language from logits, labels and languages that occur so many times."""
+    weight = times * np.where(y == 1, 1 / max(1, times[y == 1].sum()), CLEAN_WEIGHT / max(1, times[y == 0].sum()))
+    common = best_cut(z, y, weight)
+    for k in range(len(LANGS)):
+        own = lang == k
+        enough = min(times[own & (y == 1)].sum(), times[own & (y == 0)].sum()) >= 5
+        net.cuts[k] = best_cut(z[own], y[own], weight[own]) if enough else common
+
+
 def fit(rows: list[tuple[str, int]]) -> Net | None:
-    """Net and cuts from labelled texts; a quarter of them, by crc32 of the text, sets the cuts."""
+    """Net and cuts from all of some labelled texts, as one shard; a quarter of them, by crc32 of the text, sets the cuts."""
     if len({y for _, y in rows}) < 2:
         return None
     held = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 4 == 0 for t, _ in rows])
@@ -227,18 +258,115 @@ def fit(rows: list[tuple[str, int]]) -> Net | None:
     a, b, marks, starts = words_of(pa.array([t for t, _ in rows], pa.string()))
     net = Net.fresh()
     learn = np.flatnonzero(~held)
-    net.train([(a[starts[i] : starts[i + 1]], b[starts[i] : starts[i + 1]]) for i in learn], y[learn])
+    sizes = [int((y[learn] == c).sum()) for c in (0, 1)]
+    net.train([(a[starts[i] : starts[i + 1]], b[starts[i] : starts[i + 1]]) for i in learn], y[learn], epochs_for(len(learn)), class_weights(sizes), net.squares())
     sets = held if held.any() else ~held
     z, lang = net.logits(a, b, starts), language(marks, starts)
-    weight = np.where(y == 1, 1 / max(1, (y[sets] == 1).sum()), CLEAN_WEIGHT / max(1, (y[sets] == 0).sum()))
-    common = best_cut(z[sets], y[sets], weight[sets])
-    for k in range(len(LANGS)):
-        own = sets & (lang == k)
-        enough = min((y[own] == 1).sum(), (y[own] == 0).sum()) >= 5
-        net.cuts[k] = best_cut(z[own], y[own], weight[own]) if enough else common
+    set_cuts(net, z[sets], y[sets], lang[sets], np.ones(sets.sum()))
     return net
 
 
+TEXTS = "shard int, k string, words binary, held boolean, lang int"
+SHARD = "sizes array<long>, y binary, held binary, lang binary, starts binary, a binary, b binary"
+_TEXTS = pa.schema([("shard", pa.int32()), ("k", pa.string()), ("words", pa.binary()), ("held", pa.bool_()), ("lang", pa.int32())])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (shard, k, text): both slots of each text's words, whether it sets the cuts, and its language."""
+    for batch in batches:
+        texts = batch.column(2).fill_null("")
+        a, b, marks, starts = words_of(texts)
+        cut = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+        words = [a[i:j].astype("<u2").tobytes() + b[i:j].astype("<u2").tobytes() for i, j in cut]  # SLOTS is 1 << 15
+        held = [zlib.crc32(x) % 4 == 0 for x in texts.cast(pa.binary()).to_pylist()]
+        lang = language(marks, starts) if len(cut) else []
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(held, pa.bool_()), pa.array(lang, pa.int32())], schema=_TEXTS)
+
+
+def _shard(texts: pa.Table, labels: pa.Table) -> pa.Table:
+    """One row of a shard's labelled texts, in an order of their own; sizes are of both classes among those to train on and of both among the others."""
+    y = dict(zip(labels.column("k").to_pylist(), labels.column("y").to_pylist(), strict=True))
+    rows = sorted((k, w, h, g) for k, w, h, g in zip(*(texts.column(c).to_pylist() for c in ("k", "words", "held", "lang")), strict=True) if k in y)
+    names = ("sizes", "y", "held", "lang", "starts", "a", "b")
+    types = [pa.list_(pa.int64()), *[pa.binary()] * 6]
+    if not rows:
+        return pa.table([pa.array([], t) for t in types], names=names)
+    label = [y[k] for k, *_ in rows]
+    sizes = [sum(h == part and v == c for (_, _, h, _), v in zip(rows, label, strict=True)) for part in (False, True) for c in (0, 1)]
+    starts = np.concatenate(([0], np.cumsum([len(w) // 4 for _, w, *_ in rows]))).astype(np.int64)
+    halves = [b"".join(w[: len(w) // 2] for _, w, *_ in rows), b"".join(w[len(w) // 2 :] for _, w, *_ in rows)]
+    cells = [sizes, bytes(label), bytes(int(h) for _, _, h, _ in rows), bytes(g for *_, g in rows), starts.tobytes(), *halves]
+    return pa.table([pa.array([x], t) for x, t in zip(cells, types, strict=True)], names=names)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(y, held, lang, starts, a, b) of each shard."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            cell = [batch.column(c)[r].as_py() for c in range(1, 7)]
+            y, held, lang = (np.frombuffer(x, np.uint8) for x in cell[:3])
+            yield y.astype(float), held > 0, lang.astype(np.int64), np.frombuffer(cell[3], np.int64), *(np.frombuffer(x, "<u2").astype(np.int64) for x in cell[4:])
+
+
+def _flat(net: Net, square: list[np.ndarray]) -> np.ndarray:
+    """Embedding rows with their squares, a slot in a row, then all else."""
+    rest = [*net.filters, net.out, np.array([net.bias]), *square[1:]]
+    return np.concatenate([np.hstack([net.rows, square[0]]).ravel(), *[x.ravel() for x in rest]]).astype(np.float64)
+
+
+def _from_flat(v: np.ndarray) -> tuple[Net, list[np.ndarray]]:
+    net, at = Net.fresh(), SLOTS * 2 * WIDTH
+    square = net.squares()
+    both = v[:at].reshape(SLOTS, 2 * WIDTH).astype(np.float32)
+    net.rows, square[0] = both[:, :WIDTH].copy(), both[:, WIDTH:].copy()
+    for x in (*net.filters, net.out, bias := np.zeros(1), *square[1:]):
+        x.ravel()[:] = v[at : at + x.size]
+        at += x.size
+    net.bias = float(bias[0])
+    return net, square
+
+
+def _stepped(shared, epochs: int, weight: np.ndarray, every: bool, seed: int):
+    """(piece, data): the steps of a partition's shards from the shared net, weighed by their texts and summed, and the weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, total = shared.value, None
+        for y, held, _, starts, a, b in _unpacked(batches):
+            learn = np.arange(len(y)) if every else np.flatnonzero(~held)
+            net, square = _from_flat(base)
+            old = _flat(net, square)
+            net.train([(a[starts[i] : starts[i + 1]], b[starts[i] : starts[i + 1]]) for i in learn], y[learn], epochs, weight, square, seed)
+            step = _flat(net, square) - old
+            moved = (step[: SLOTS * 2 * WIDTH].reshape(SLOTS, -1) != 0).any(1)
+            x = np.concatenate((np.rint(step * (len(learn) * UNIT)).astype(np.int64), moved * len(learn), [len(learn)]))
+            total = x if total is None else total + x
+        if total is not None:
+            parts = [x.tobytes() for x in np.array_split(total, PIECES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], ["piece", "data"])
+
+    return run
+
+
+def _summed(key: tuple, rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), np.int64) for x in rows.column("data"))
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+
+def _binned(shared, every: bool):
+    """(lang, bin, y, n): how often a partition's texts that set the cuts have a logit in each bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, _ = _from_flat(shared.value)
+        table = net.responses()
+        for y, held, lang, starts, a, b in _unpacked(batches):
+            place = np.rint(np.clip(net.logits(a, b, starts, table), -30, 30) * BINS).astype(np.int64)
+            sets = np.ones(len(y), bool) if every else held
+            seen, n = np.unique(np.stack([lang, place, y.astype(np.int64)], 1)[sets], axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*seen.T, n)], ["lang", "bin", "y", "n"])
+
+    return run
+
+
 def score_texts(docs: DataFrame, net: Net | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text in a new last column."""
     spark = docs.sparkSession
@@ -262,8 +390,49 @@ def score_texts(docs: DataFrame, net: Net | None, text_col: str = "text", score_
     return docs.mapInArrow(lean(run), schema)
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Net | None:
-    return fit(labelled_sample(docs, labels, "toxic", rows)[0])
+def trained(docs: DataFrame, labels: DataFrame) -> Net | None:
+    """Net and cuts from every labelled text of folds other than 1."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    scratch = Scratch(spark)
+    y = labels.select(F.col("doc_id").cast("string").alias("k"), F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1))
+    y = y.where(crc_fold("k") != 1).groupBy("k").agg(F.max("y").alias("y"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    shards = max(1, -(-y.count() // SHARD_ROWS), -(-size // SHARD_BYTES))
+    shard = F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int").alias("shard")
+    d = docs.select(F.col("doc_id").cast("string").alias("k"), "text").where(crc_fold("k") != 1).select(shard, "k", "text")
+    left, right = d.mapInArrow(lean(_words), TEXTS).groupBy("shard"), y.select(shard, "k", "y").groupBy("shard")
+    dealt = scratch.stored(left.cogroup(right).applyInArrow(lean_group(_shard), SHARD), "toxicity-shards")
+    n = dealt.agg(*[F.sum(F.col("sizes")[i]) for i in range(4)], F.count("*")).first()
+    learn, held, shards = [n[0] or 0, n[1] or 0], [n[2] or 0, n[3] or 0], n[4]
+    every = min(learn) == 0 or min(held) == 0
+    if every:
+        learn = [p + q for p, q in zip(learn, held, strict=True)]
+    if min(learn) == 0:
+        scratch.drop(dealt)
+        return None
+    net = Net.fresh()
+    v = _flat(net, net.squares())
+    epochs = epochs_for(sum(learn) / shards)
+    for r in range(epochs if shards > 1 else 1):
+        shared = spark.sparkContext.broadcast(v.astype(np.float32))
+        steps = dealt.mapInArrow(lean(_stepped(shared, 1 if shards > 1 else epochs, class_weights(learn), every, SEED + r)), "piece int, data binary")
+        found = {x.piece: np.frombuffer(x.data, np.int64) for x in steps.groupBy("piece").applyInArrow(lean_group(_summed), "piece int, data binary").collect()}
+        total = np.concatenate([found[i] for i in range(PIECES)])
+        step, moved, texts = total[: len(v)] / UNIT, total[len(v) : -1], total[-1]
+        wide = SLOTS * 2 * WIDTH
+        step[:wide] /= np.repeat(np.maximum(1, moved), 2 * WIDTH)
+        step[wide:] /= texts
+        v = shared.value + step
+        shared.unpersist()
+    shared = spark.sparkContext.broadcast(v.astype(np.float32))
+    counts = dealt.mapInArrow(lean(_binned(shared, every)), "lang long, bin long, y long, n long").groupBy("lang", "bin", "y").agg(F.sum("n").alias("n"))
+    lang, place, label, times = np.array([tuple(x) for x in counts.collect()], np.int64).T  # bins of five languages and two classes at most
+    shared.unpersist()
+    scratch.drop(dealt)
+    net, _ = _from_flat(v)
+    set_cuts(net, place / BINS, label.astype(float), lang, times)
+    return net
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -473,6 +473,26 @@ def test_classifiers_on_held_out_rows(spark, odd, none, module, label, least):
     assert score(odd, many).count() == len(ODD_TEXTS) + 2 and score(none, many).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """A word that marks only toxic texts beyond the 2000 least hashes; neither order nor partitions change the net."""
+    r = random.Random(5)
+    ids = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 3 != 1][:4800]
+    toxic = [x.id for x in spark.createDataFrame([(i,) for i in ids[::2]], "id long").orderBy(F.xxhash64("id"), "id").collect()]
+    word = {i: "zurg" if k < 2000 else "blorp" for k, i in enumerate(toxic)}
+    plain = lambda: ["".join(r.choice("abcdeiou") for _ in range(4)) for _ in range(7)]
+    rows = [(i, " ".join([*plain(), word.get(i, "fine"), *plain()])) for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in word)) for i in ids], "doc_id long, toxic int")
+    net = toxicity.trained(docs, labels)
+    probe = [(i, " ".join([*plain(), w])) for i, w in enumerate(["zurg", "blorp", "fine"] * 20)]
+    scores = toxicity.score_texts(spark.createDataFrame(probe, "doc_id long, text string"), net).collect()
+    assert np.mean([(x.score >= toxicity.THRESHOLD) == (x.doc_id % 3 < 2) for x in scores]) > 0.95
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 1000)
+    few = docs.where("doc_id < 3000"), labels.where("doc_id < 3000")
+    one, two = (toxicity.trained(d, y) for d, y in (few, [x.repartition(3).orderBy(F.desc("doc_id")) for x in few]))
+    assert np.array_equal(one.rows, two.rows) and np.array_equal(one.cuts, two.cuts) and one.bias == two.bias
+
+
 def test_toxicity_learns_words_in_each_language():
     r = random.Random(9)
     rows = []
