@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch: texts are long, so batches are kept short.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
+#: Bits of a filter of ids for each id, at least; of a piece of it, as a power of two.
+ID_BITS, PIECE_BITS = 32, 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -158,6 +162,41 @@ def _cleanup() -> None:
             return
 
 
+def _piece(key: tuple, rows: pa.Table) -> pa.Table:
+    """A piece of the filter of ids: its bits at the rows' places."""
+    bits = np.zeros(1 << PIECE_BITS, np.uint8)
+    bits[rows.column("at").to_numpy() & ((1 << PIECE_BITS) - 1)] = 1
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def with_ids(rows: DataFrame, id_col: str, ids: DataFrame, n: int, then: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """``rows`` (id, text) but for most of those whose id isn't among the n ``ids`` (k); what ``then`` makes of their batches, if given.
+
+    A broadcast of some bytes for each id tells them: a bit for each hash. So only texts that are asked for, and at
+    most a row in ``ID_BITS`` of the others, reach a join, whatever plan it takes.
+    """
+    power = max(PIECE_BITS, (n * ID_BITS - 1).bit_length())
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << power) - 1))
+    at = ids.select(place("k").alias("at")).withColumn("piece", F.shiftright("at", PIECE_BITS))
+    bits = np.zeros(1 << power >> 3, np.uint8)
+    for r in at.groupBy("piece").applyInArrow(lean_group(_piece), "piece long, bits binary").collect():
+        bits[r.piece << PIECE_BITS >> 3 : (r.piece + 1) << PIECE_BITS >> 3] = np.frombuffer(r.bits, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            x = batch.column(2).to_numpy()
+            held = bits[x >> 3] >> (x & 7).astype(np.uint8) & 1
+            yield batch.select([0, 1]).filter(pa.array(held.astype(bool)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # one function, one worker for each task
+        yield from then(kept(batches)) if then else kept(batches)
+
+    some = rows.select(id_col, "text").where(F.col(id_col).isNotNull())
+    return some.withColumn("at", place(id_col)).mapInArrow(lean(run), schema or some.schema)
+
+
 def crc_fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; 1 marks the held-out rows. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3, F.lit(1))

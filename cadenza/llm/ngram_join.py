@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, bounded_batches, lean, lean_group
+from cadenza.llm.common import Scratch, bounded_batches, lean, lean_group, with_ids
 
 WORDS = 5  #: words of a shingle
 #: Links: 100 * intersection >= 75 * union. Bands, bounds and cells below are for this.
@@ -57,7 +57,6 @@ ROUNDS = 2  #: rounds of leaders
 GROUP = 500  #: sets of a chunk of a family or a component; two chunks meet in a task
 GROUP_BYTES = 16 << 20  #: of a chunk's sets
 ONE_TASK = 1 << 21  #: links that one task joins to components; more are joined by rounds of joins
-ID_BITS, PIECE_BITS = 32, 20  #: bits of the filter of ids for each id, at least; of a piece of it, as a power of two
 
 _U = np.uint64
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -344,38 +343,6 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
         scratch.drop(hooked)
 
 
-def _piece(key: tuple, rows: pa.Table) -> pa.Table:
-    """A piece of the filter of ids: its bits at the rows' places."""
-    bits = np.zeros(1 << PIECE_BITS, np.uint8)
-    bits[rows.column("at").to_numpy() & ((1 << PIECE_BITS) - 1)] = 1
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-
-def with_ids(rows: DataFrame, id_col: str, ids: DataFrame, n: int) -> DataFrame:
-    """``rows`` (id, text) but for most of those whose id isn't among the n ``ids`` (k).
-
-    A broadcast of some bytes for each id tells them: a bit for each hash. So only texts that are asked for, and at
-    most a row in ``ID_BITS`` of the others, reach a join, whatever plan it takes.
-    """
-    power = max(PIECE_BITS, (n * ID_BITS - 1).bit_length())
-    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << power) - 1))
-    at = ids.select(place("k").alias("at")).withColumn("piece", F.shiftright("at", PIECE_BITS))
-    bits = np.zeros(1 << power >> 3, np.uint8)
-    for r in at.groupBy("piece").applyInArrow(lean_group(_piece), "piece long, bits binary").collect():
-        bits[r.piece << PIECE_BITS >> 3 : (r.piece + 1) << PIECE_BITS >> 3] = np.frombuffer(r.bits, np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            x = batch.column(2).to_numpy()
-            held = bits[x >> 3] >> (x & 7).astype(np.uint8) & 1
-            yield batch.select([0, 1]).filter(pa.array(held.astype(bool)))
-
-    kept = rows.select(id_col, "text").where(F.col(id_col).isNotNull())
-    return kept.withColumn("at", place(id_col)).mapInArrow(lean(run), kept.schema)
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, feat) of (node, set, text) rows whose text has that set."""
     for batch in batches:

@@ -27,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cadenza.llm.common import Scratch, bounded_batches, crc_fold, lean, lean_group
+from cadenza.llm.common import Scratch, bounded_batches, crc_fold, lean, lean_group, with_ids
 
 SHARD_ROWS, SHARD_BYTES = 4000, 64 << 20  #: labelled texts of a shard; bytes of all texts that a shard stands for
-PIECES, UNIT = 16, 1 << 24  #: parts in which steps are summed; their unit is 1 / UNIT
+CHUNK_BYTES = 200_000  #: of a shard's row, but for longer texts
+PIECES, UNIT = 32, 1 << 24  #: parts in which steps are summed; their unit is 1 / UNIT
 BINS = 64  #: bins of a logit's unit where cuts may lie
 HEAVY = 8.0  #: greatest weight of a class in training
 SLOTS = 1 << 15  #: rows of the hashed embedding; row 0 is silence
@@ -266,46 +268,51 @@ def fit(rows: list[tuple[str, int]]) -> Net | None:
     return net
 
 
-TEXTS = "shard int, k string, words binary, held boolean, lang int"
-SHARD = "sizes array<long>, y binary, held binary, lang binary, starts binary, a binary, b binary"
-_TEXTS = pa.schema([("shard", pa.int32()), ("k", pa.string()), ("words", pa.binary()), ("held", pa.bool_()), ("lang", pa.int32())])
+TEXTS = "k string, words binary, held boolean, lang int"
+SHARD = "shard int, sizes array<long>, y binary, held binary, lang binary, starts binary, a binary, b binary"
+_TEXTS = pa.schema([("k", pa.string()), ("words", pa.binary()), ("held", pa.bool_()), ("lang", pa.int32())])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (shard, k, text): both slots of each text's words, whether it sets the cuts, and its language."""
+    """Of (k, text): both slots of each text's words, whether it sets the cuts, and its language."""
     for batch in batches:
-        texts = batch.column(2).fill_null("")
+        texts = batch.column(1).fill_null("")
         a, b, marks, starts = words_of(texts)
         cut = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
         words = [a[i:j].astype("<u2").tobytes() + b[i:j].astype("<u2").tobytes() for i, j in cut]  # SLOTS is 1 << 15
         held = [zlib.crc32(x) % 4 == 0 for x in texts.cast(pa.binary()).to_pylist()]
         lang = language(marks, starts) if len(cut) else []
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(held, pa.bool_()), pa.array(lang, pa.int32())], schema=_TEXTS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(held, pa.bool_()), pa.array(lang, pa.int32())], schema=_TEXTS)
 
 
 def _shard(texts: pa.Table, labels: pa.Table) -> pa.Table:
-    """One row of a shard's labelled texts, in an order of their own; sizes are of both classes among those to train on and of both among the others."""
+    """A shard's labelled texts, in an order of their own, as rows of bounded size; sizes are of both classes among those to train on and of both among the others."""
     y = dict(zip(labels.column("k").to_pylist(), labels.column("y").to_pylist(), strict=True))
-    rows = sorted((k, w, h, g) for k, w, h, g in zip(*(texts.column(c).to_pylist() for c in ("k", "words", "held", "lang")), strict=True) if k in y)
-    names = ("sizes", "y", "held", "lang", "starts", "a", "b")
-    types = [pa.list_(pa.int64()), *[pa.binary()] * 6]
-    if not rows:
-        return pa.table([pa.array([], t) for t in types], names=names)
-    label = [y[k] for k, *_ in rows]
-    sizes = [sum(h == part and v == c for (_, _, h, _), v in zip(rows, label, strict=True)) for part in (False, True) for c in (0, 1)]
-    starts = np.concatenate(([0], np.cumsum([len(w) // 4 for _, w, *_ in rows]))).astype(np.int64)
-    halves = [b"".join(w[: len(w) // 2] for _, w, *_ in rows), b"".join(w[len(w) // 2 :] for _, w, *_ in rows)]
-    cells = [sizes, bytes(label), bytes(int(h) for _, _, h, _ in rows), bytes(g for *_, g in rows), starts.tobytes(), *halves]
-    return pa.table([pa.array([x], t) for x, t in zip(cells, types, strict=True)], names=names)
+    texts = texts.filter(pc.is_in(texts.column("k"), labels.column("k").combine_chunks())) if y else texts.slice(0, 0)
+    rows = sorted(zip(*(texts.column(c).to_pylist() for c in ("k", "words", "held", "lang", "shard")), strict=True))
+    out, at = [], 0
+    while at < len(rows):
+        to, size = at + 1, len(rows[at][1])
+        while to < len(rows) and size + len(rows[to][1]) <= CHUNK_BYTES:
+            size, to = size + len(rows[to][1]), to + 1
+        part, at = rows[at:to], to
+        label = [y[k] for k, *_ in part]
+        sizes = [sum(r[2] == held and v == c for r, v in zip(part, label, strict=True)) for held in (False, True) for c in (0, 1)]
+        starts = np.concatenate(([0], np.cumsum([len(r[1]) // 4 for r in part]))).astype(np.int64)
+        halves = [b"".join(r[1][: len(r[1]) // 2] for r in part), b"".join(r[1][len(r[1]) // 2 :] for r in part)]
+        out.append([part[0][4], sizes, bytes(label), bytes(int(r[2]) for r in part), bytes(r[3] for r in part), starts.tobytes(), *halves])
+    types = [pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 6]
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["shard", "sizes", "y", "held", "lang", "starts", "a", "b"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(y, held, lang, starts, a, b) of each shard."""
-    for batch in batches:
-        for r in range(batch.num_rows):
-            cell = [batch.column(c)[r].as_py() for c in range(1, 7)]
-            y, held, lang = (np.frombuffer(x, np.uint8) for x in cell[:3])
-            yield y.astype(float), held > 0, lang.astype(np.int64), np.frombuffer(cell[3], np.int64), *(np.frombuffer(x, "<u2").astype(np.int64) for x in cell[4:])
+    """(y, held, lang, starts, a, b) of each shard, whose rows follow one another."""
+    rows = ([batch.column(c)[r].as_py() for c in (0, *range(2, 8))] for batch in batches for r in range(batch.num_rows))
+    for _, part in groupby(rows, key=lambda r: r[0]):
+        part = list(part)
+        y, held, lang, a, b = (np.frombuffer(b"".join(r[c] for r in part), t) for c, t in ((1, np.uint8), (2, np.uint8), (3, np.uint8), (5, "<u2"), (6, "<u2")))
+        length = np.concatenate([np.diff(np.frombuffer(r[4], np.int64)) for r in part])
+        yield y.astype(float), held > 0, lang.astype(np.int64), np.concatenate(([0], np.cumsum(length))), a.astype(np.int32), b.astype(np.int32)
 
 
 def _flat(net: Net, square: list[np.ndarray]) -> np.ndarray:
@@ -398,12 +405,14 @@ def trained(docs: DataFrame, labels: DataFrame) -> Net | None:
     y = labels.select(F.col("doc_id").cast("string").alias("k"), F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1))
     y = y.where(crc_fold("k") != 1).groupBy("k").agg(F.max("y").alias("y"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    shards = max(1, -(-y.count() // SHARD_ROWS), -(-size // SHARD_BYTES))
+    labelled = y.count()
+    shards = max(1, -(-labelled // SHARD_ROWS), -(-size // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int").alias("shard")
-    d = docs.select(F.col("doc_id").cast("string").alias("k"), "text").where(crc_fold("k") != 1).select(shard, "k", "text")
-    left, right = d.mapInArrow(lean(_words), TEXTS).groupBy("shard"), y.select(shard, "k", "y").groupBy("shard")
+    d = docs.select(F.col("doc_id").cast("string").alias("k"), "text").where(crc_fold("k") != 1)
+    words = with_ids(d, "k", y, labelled, _words, TEXTS).select(shard, "*")
+    left, right = words.groupBy("shard"), y.select(shard, "k", "y").groupBy("shard")
     dealt = scratch.stored(left.cogroup(right).applyInArrow(lean_group(_shard), SHARD), "toxicity-shards")
-    n = dealt.agg(*[F.sum(F.col("sizes")[i]) for i in range(4)], F.count("*")).first()
+    n = dealt.agg(*[F.sum(F.col("sizes")[i]) for i in range(4)], F.countDistinct("shard")).first()
     learn, held, shards = [n[0] or 0, n[1] or 0], [n[2] or 0, n[3] or 0], n[4]
     every = min(learn) == 0 or min(held) == 0
     if every:

@@ -15,7 +15,7 @@ from conftest import SMALL
 from oracle import assert_same, connection
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, ngram_join, ogg, packing, quality, secrets, topk, toxicity, urlfilter, warc
+from cadenza.llm import bpe, common, ngram_join, ogg, packing, quality, secrets, topk, toxicity, urlfilter, warc
 from cadenza.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER
 
 ODD_TEXTS = [None, "", " ", "a", "word " * 30_000, "x" * 50_000, "é ﬁ İstanbul Σας <|endoftext|> 12'3 can't", "same text here it is", "same text here it is", "tab\tand nbsp em\x0bvt", "漢字かな 🙂 é"]
@@ -243,7 +243,7 @@ def test_components_of_links(spark, monkeypatch, most):
 def test_only_wanted_texts_reach_the_join(spark):
     rows = spark.createDataFrame([(i, f"text {i}") for i in range(-2000, 2000)] + [(None, "x"), (5, "again")], "doc_id long, text string")
     ids = spark.createDataFrame([(i,) for i in range(-1990, 2000, 100)], "k long")
-    got = ngram_join.with_ids(rows, "doc_id", ids, 40).collect()
+    got = common.with_ids(rows, "doc_id", ids, 40).collect()
     assert {i for i in range(-1990, 2000, 100)} <= {r.doc_id for r in got}
     assert len(got) < 40 + 4000 // 16 and all(r.text in (f"text {r.doc_id}", "again") for r in got)
 
